@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, shards, tokens
+from . import decontaminate, langid, lm_score, mixing, quality, shards, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_token_counts": tokens.op3_token_counts,
+        "op4_lm_score": lm_score.op4_lm_score,
         "op5_shards": shards.op5_shards,
         "op6_mix": mixing.op6_mix,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_quality": quality.op8_quality,
+        "op10_language": langid.op10_language,
     }
 
 
