@@ -66,6 +66,11 @@ class Graph:
 
         return Traversal(self).V(*ids)
 
+    def inject(self, *values):
+        from .plans.traversal import Traversal
+
+        return Traversal(self).inject(*values)
+
     def E(self, *ids):
         from .plans.traversal import Traversal
 
