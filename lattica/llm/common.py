@@ -10,6 +10,7 @@ length of the batch.  A single document longer than a chunk forms a chunk of its
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -124,6 +125,18 @@ def windows_inside(bounds: np.ndarray, n: int, size: int) -> np.ndarray:
     return np.arange(n) + size <= end
 
 
+@contextmanager
+def released_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Plans made in here give their shuffle files back when their execution ends."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_table(df: DataFrame) -> DataFrame:
     """Cut lineage and keep the rows where every executor can read them again: a reliable
     checkpoint in the folder that spark.checkpoint.dir names, or a local one in tests."""

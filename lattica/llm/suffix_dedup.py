@@ -41,7 +41,7 @@ LENGTH = 100
 GRAM = 24
 LEFT = LENGTH - GRAM
 #: Bytes of text in one sorted run, and in the buckets that one task settles at a time.
-RUN_BYTES = 24_000_000
+RUN_BYTES = 16_000_000
 BUCKET_BYTES = 2_000_000
 _POSITION_BITS = 28
 
@@ -314,8 +314,8 @@ def _runs(buckets: int, run_bytes: int):
 
         def flush():
             table = np.concatenate(ids)
-            doc, pos, right, left, r, n_left = (np.concatenate(x) for x in zip(*held, strict=True))
-            whole = _row_hash(np.concatenate((right, left, r[:, None], n_left[:, None]), 1))
+            doc, pos, right, left, r, n_left, whole = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             order = np.lexsort((pos, table[doc, 1], table[doc, 0], whole))
             again = np.zeros(len(order), bool)
             again[1:] = whole[order][1:] == whole[order][:-1]
@@ -330,12 +330,12 @@ def _runs(buckets: int, run_bytes: int):
             by = np.argsort(right[keep].view(f"S{LENGTH}").ravel(), kind="stable")
             by = by[np.argsort(bucket[by], kind="stable")]
             keep, bucket = keep[by], bucket[by]
+            doc, pos, right, left, r, n_left = (x[keep] for x in (doc, pos, right, left, r, n_left))
             cuts = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(bucket))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                own = keep[a:b]
+                own = slice(a, b)
                 out_bucket.append(int(bucket[a]))
                 out_blob.append(encode(table, doc[own], pos[own], right[own], left[own], r[own], n_left[own], pack))
-            held.clear()
             ids.clear()
             return pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int64()), pa.array(out_blob, pa.binary())], names=["bucket", "run"])
 
@@ -348,7 +348,8 @@ def _runs(buckets: int, run_bytes: int):
                 doc, at, lo, hi = anchors(piece, cuts)
                 if len(doc):
                     right, left, r, n_left = contexts(piece, at, lo, hi)
-                    held.append((doc + docs, at - cuts[doc], right, left, r, n_left))
+                    whole = _row_hash(np.concatenate((right, left, r[:, None], n_left[:, None]), 1))
+                    held.append((doc + docs, at - cuts[doc], right, left, r, n_left, whole))
                 ids.append(own[a:b])
                 docs += b - a
                 size += len(piece)
@@ -364,19 +365,20 @@ def _runs(buckets: int, run_bytes: int):
 
 
 def _merge(batches):
-    from .neardup import _groups
+    from .neardup import bounds_of, whole_groups
 
     unpack = zstandard.ZstdDecompressor().decompress
-    for group in _groups(batches, 1):
-        blobs = group.column(1).to_pylist()
-        out = [np.frombuffer(unpack(x[1:]), np.int64).reshape(-1, 4) for x in blobs if not x[0]]
-        runs = [decode(x, unpack) for x in blobs if x[0]]
-        del blobs
-        if runs:
-            key, start, end = merged(*repeats(runs))
-            out.append(np.column_stack((key, start, end)))
-        rows = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, j])) for j in range(4)], names=["id", "th", "s", "e"])
+    for table in whole_groups(batches, 1):
+        cuts = bounds_of(table, 1)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            blobs = table.column(1).slice(a, b - a).to_pylist()
+            out = [np.frombuffer(unpack(x[1:]), np.int64).reshape(-1, 4) for x in blobs if not x[0]]
+            runs = [decode(x, unpack) for x in blobs if x[0]]
+            if runs:
+                key, start, end = merged(*repeats(runs))
+                out.append(np.column_stack((key, start, end)))
+            rows = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, j])) for j in range(4)], names=["id", "th", "s", "e"])
 
 
 def _apply(batches):
@@ -416,7 +418,8 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", run_
 
 def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", run_bytes: int = RUN_BYTES) -> DataFrame:
     """Rows (__id, n_bytes, n_removed, n_spans, sha), one per document."""
-    spans = C.shared_table(repeated_spans(docs, id, text, run_bytes))
+    with C.released_shuffles(docs.sparkSession):  # the runs need disk until the intervals are written
+        spans = C.shared_table(repeated_spans(docs, id, text, run_bytes))
     rows = docs.select(F.col(id).alias("__id"), F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("th"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind = rows.select(F.col("__id").alias("id")).schema["id"].dataType.simpleString()
     joined = rows.join(spans, ["id", "th"], "left").select("__id", "text", "spans")
