@@ -14,6 +14,7 @@ from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import GraphError
@@ -37,13 +38,15 @@ class State:
     path: bool = False
     tags: dict[str, str] = field(default_factory=dict)  # name -> kind
     stores: dict[str, DataFrame] = field(default_factory=dict)
+    #: Inside a child traversal: the objects it started from, as (__root).
+    roots: DataFrame | None = None
 
     @property
     def current(self) -> str:
         return "__id" if self.kind in ("vertex", "edge") else "__value"
 
     def carried(self) -> list[str]:
-        return [c for c in self.df.columns if c.startswith("@") or c in ("__path", "__loops", "__sack", "__root", "__row", "__from", "__index")]
+        return [c for c in self.df.columns if c.startswith("@") or c in ("__path", "__loops", "__sack", "__root", "__rank", "__from")]
 
     def table(self) -> DataFrame:
         return self.graph.vertices if self.kind == "vertex" else self.graph.edges
@@ -302,14 +305,15 @@ class Traversal:
 
         return self._then("or", step)
 
-    def dedup(self, *tags: str, by: str | None = None) -> Traversal:
+    def dedup(self, *tags: str, by: str | Traversal | None = None) -> Traversal:
         def step(s: State) -> State:
             if tags:
                 return replace(s, df=s.df.dropDuplicates([f"@{t}" for t in tags]))
+            own = ["__root"] if "__root" in s.df.columns else []
             if by is not None:
-                s = s.attach()
-                return replace(s, df=s.df.dropDuplicates([f"p_{by}"]))
-            return replace(s, df=s.df.dropDuplicates([s.current]))
+                s, key = _by(s, by)
+                return replace(s, df=s.df.withColumn("__by", key).where("__by IS NOT NULL").dropDuplicates([*own, "__by"]).drop("__by"))
+            return replace(s, df=s.df.dropDuplicates([*own, s.current]))
 
         return self._then("dedup", step)
 
@@ -319,14 +323,26 @@ class Traversal:
     def cyclicPath(self) -> Traversal:
         return self._where("cyclicPath", lambda s: F.size(F.array_distinct("__path")) < F.size("__path"), attach=False)
 
+    def _slice(self, name: str, low: int, high: int | None) -> Traversal:
+        """Positions [low, high); within a child traversal of each object it started from."""
+        def step(s: State) -> State:
+            if "__root" not in s.df.columns:
+                df = s.df.offset(low) if low else s.df
+                return replace(s, df=df if high is None else df.limit(high - low))
+            n = F.row_number().over(W.partitionBy("__root").orderBy(F.col("__rank" if "__rank" in s.df.columns else s.current)))
+            df = s.df.withColumn("__n", n).where(F.col("__n") > low)
+            return replace(s, df=(df if high is None else df.where(F.col("__n") <= high)).drop("__n"))
+
+        return self._then(name, step)
+
     def limit(self, n: int) -> Traversal:
-        return self._then("limit", lambda s: replace(s, df=s.df.limit(n)))
+        return self._slice("limit", 0, n)
 
     def skip(self, n: int) -> Traversal:
-        return self._then("skip", lambda s: replace(s, df=s.df.offset(n)))
+        return self._slice("skip", n, None)
 
     def range(self, low: int, high: int) -> Traversal:
-        return self._then("range", lambda s: replace(s, df=s.df.offset(low).limit(high - low)))
+        return self._slice("range", low, high)
 
     def tail(self, n: int, *keys: str) -> Traversal:
         """The last n in order of the keys."""
@@ -344,16 +360,18 @@ class Traversal:
         return self._then("coin", lambda s: replace(s, df=s.df.where(F.rand(seed) < p)))
 
     def order(self, *by) -> Traversal:
-        """by: keys, (key, 'asc' | 'desc' | 'shuffle'); none: the current object.  Ties are
-        broken by the object, so that pages are stable."""
+        """by: keys or child traversals, or (one of these, 'asc' | 'desc' | 'shuffle'); none:
+        the current object.  Ties are broken by the object, so that pages are stable."""
         def step(s: State) -> State:
-            s = s.attach() if by else s
             columns = []
             for b in by or (None,):
                 key, way = b if isinstance(b, tuple) else (b, "asc")
-                c = F.col(s.current) if key is None else s.column(key)
+                s, c = (s, F.col(s.current)) if key is None else _by(s, key)
                 columns.append(F.rand() if way == "shuffle" else c.desc_nulls_last() if way == "desc" else c.asc_nulls_last())
-            return replace(s, df=s.df.orderBy(*columns, F.col(s.current)))
+            columns.append(F.col(s.current))
+            if "__root" in s.df.columns:  # the place of each result is kept for positional steps
+                return replace(s, df=s.df.withColumn("__rank", F.row_number().over(W.partitionBy("__root").orderBy(*columns))))
+            return replace(s, df=s.df.orderBy(*columns))
 
         return self._then("order", step)
 
@@ -430,8 +448,11 @@ class Traversal:
 
     barrier = none_ = side_effect = identity
 
-    def map(self, make: Callable[[Column], Column]) -> Traversal:
-        """A column expression of the current value: string, date, list and own functions."""
+    def map(self, make: Callable[[Column], Column] | Traversal) -> Traversal:
+        """A column expression of the current value (string, date, list and own functions),
+        or the first result, in their order, of a child traversal."""
+        if isinstance(make, Traversal):
+            return self.union(make.limit(1))
         return self._to_value("map", lambda s: make(F.col(s.current)), attach=False)
 
     def math(self, expression: str) -> Traversal:
@@ -525,6 +546,9 @@ class Traversal:
             agg = s.df.groupBy(*by).agg(make(s.current).alias("__value"))
             if not empty:
                 agg = agg.where("__value IS NOT NULL")
+            elif by and s.roots is not None:  # objects without any result count as well
+                none = F.lit(0).cast("long") if name == "count" else F.array().cast(dict(agg.dtypes)["__value"])
+                agg = s.roots.join(agg, "__root", "left").withColumn("__value", F.coalesce("__value", none))
             return replace(s, df=agg, kind="value", attached=False, path=False, tags={})
 
         return self._then(name, step)
@@ -554,27 +578,23 @@ class Traversal:
 
         return self._then("unfold", step)
 
-    def local(self, how: str) -> Traversal:
-        """count, sum, min, max or mean of the list that is the current value."""
+    def local(self, how: str | Traversal) -> Traversal:
+        """count, sum, min, max or mean of the list that is the current value; or a child
+        traversal whose positions, orders and aggregates count per traverser."""
+        if isinstance(how, Traversal):
+            return self.union(how)
         c = F.col("__value")
         total = F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double"))
         make = {"count": F.size(c), "sum": total, "min": F.array_min(c), "max": F.array_max(c), "mean": total / F.size(c)}[how]
         return self._to_value("local", lambda s: make, attach=False)
 
-    def _group_key(self, s: State, by: str | Column | None) -> Column:
-        if by is None:
-            return F.col(s.current)
-        if isinstance(by, Column):
-            return by
-        return F.col("p_label") if by == "label" else s.column(by)
-
     def group(self, by=None, value: str | None = None, how: Callable = F.collect_list) -> Traversal:
         """Rows (key, value): `how` over a property (default the object) by key; traversers
         without key are dropped."""
         def step(s: State) -> State:
-            s = s.attach()
-            v = F.col(s.current) if value is None else s.column(value)
-            rows = s.df.select(self._group_key(s, by).alias("key"), v.alias("__v")).where("key IS NOT NULL")
+            s, key = (s, F.col(s.current)) if by is None else _by(s, by)
+            s, v = (s, F.col(s.current)) if value is None else _by(s, value)
+            rows = s.df.select(key.alias("key"), v.alias("__v")).where("key IS NOT NULL")
             return replace(s, df=rows.groupBy("key").agg(how("__v").alias("value")), kind="row", attached=False, path=False, tags={})
 
         return self._then("group", step)
@@ -775,6 +795,20 @@ class Traversal:
         return mutate.add_edges(s.graph, batch)
 
 
+def _by(s: State, by: str | Column | Traversal) -> tuple[State, Column]:
+    """The state, and the column that a by-modulator stands for: a property, `label`, `id`,
+    an expression, or the first result of a child traversal (null if it has none)."""
+    if isinstance(by, Column):
+        return s.attach(), by
+    if isinstance(by, Traversal):
+        got = _child(s, by)
+        name = f"__by{sum(c.startswith('__by') for c in s.df.columns)}"
+        first = got.df.groupBy(F.col("__root").alias("__r")).agg(F.min(got.current).alias(name))
+        return replace(s, df=s.df.join(first, F.col(s.current) == F.col("__r"), "left").drop("__r")), F.col(name)
+    s = s.attach()
+    return s, F.col("__id") if by == "id" else F.col("p_label") if by == "label" else s.column(by)
+
+
 def _paths(children) -> str:
     return ":path" if any(c is not None and c._needs_path() for c in children) else ""
 
@@ -790,7 +824,8 @@ def _child(s: State, child: Traversal) -> State:
     ids = s.df.select(F.col(s.current)).distinct().withColumn("__root", F.col(s.current))
     if "__loops" in s.df.columns:
         ids = s.df.select(F.col(s.current), "__loops").distinct().withColumn("__root", F.col(s.current))
-    inner = replace(s, df=ids, attached=False, tags={}, path=s.path or child._needs_path())
+    roots = ids.select("__root").distinct()
+    inner = replace(s, df=ids, attached=False, tags={}, roots=roots, path=s.path or child._needs_path())
     if inner.path:
         inner = replace(inner, df=inner.df.withColumn("__path", F.array().cast("array<string>")))
     return child.apply(inner)

@@ -89,6 +89,19 @@ def test_side_effects_and_mutations(g):
     assert g.V().project(name="name", made=__.out("created").count()).df().where("made > 1").collect()[0].name == "josh"
 
 
+def test_positions_and_aggregates_inside_children(g):
+    assert sorted(g.V(1, 4).local(__.outE().order(("weight", "desc")).limit(1)).values("weight").to_list()) == [1.0, 1.0]
+    assert sorted(g.V().where(__.out().count().is_(0)).values("name").to_list()) == ["lop", "ripple", "vadas"]
+    assert sorted(g.V().where(__.out().count().is_(P.gte(2))).values("name").to_list()) == ["josh", "marko"]
+    assert dict(map(tuple, g.V().groupCount(__.out().count()).to_list())) == {0: 3, 1: 1, 2: 1, 3: 1}
+    assert g.V().order((__.both().count(), "desc")).limit(1).values("name").to_list()[0] in ("josh", "lop", "marko")
+    assert sorted(g.V().hasLabel("person").map(__.out().order("name").values("name")).to_list()) == ["josh", "lop", "lop"]
+    assert g.V().values("age").order().range(1, 3).to_list() == [29, 32] and g.V().tail(2, "age").count().to_list() == [2]
+    assert sorted(g.V(1, 4).union(__.out().dedup().count()).to_list()) == [2, 3]
+    assert g.V().sample(3).count().to_list() == [3] and g.V().coin(1.0).count().to_list() == [6]
+    assert sorted(len(x) for x in g.V().union(__.out().fold()).to_list()) == [0, 0, 0, 1, 2, 3]
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("  Abc ", [1, 2, 3], "2020-01-02 03:04:05")], "s string, l array<int>, t string")
     s, l, t = F.col("s"), F.col("l"), F.col("t")
