@@ -27,6 +27,8 @@ class Graph:
     catalog: Catalog = field(default_factory=Catalog)
     #: Keep neighbours whose vertex row is missing (left join) or drop them (inner join).
     keep_dangling: bool = False
+    #: Every endpoint is known to exist, so hops need not look; unchecked edges clear it.
+    intact: bool = True
 
     @property
     def spark(self):

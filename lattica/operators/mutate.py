@@ -57,7 +57,8 @@ def add_edges(graph: Graph, batch: DataFrame, check: bool = True) -> Graph:
         if graph.catalog.use_schema:
             graph.catalog.check_connections(batch, graph.vertices)
         _check_new(graph, "edge", batch, graph.edges, E_META)
-    return graph.with_(edges=graph.edges.unionByName(batch, allowMissingColumns=True))
+    checked = check and graph.catalog.use_schema  # then the endpoints were looked up
+    return graph.with_(intact=graph.intact and checked, edges=graph.edges.unionByName(batch, allowMissingColumns=True))
 
 
 def bulk_add(graph: Graph, vertices: DataFrame | None = None, edges: DataFrame | None = None) -> Graph:

@@ -172,8 +172,8 @@ class Traversal:
             if edge:
                 return s.moved(df.select(F.col("__edge").alias("__id"), F.col("__v").alias("__from"), *rest), "edge")
             df = df.select(F.col("__other").alias("__id"), *rest)
-            if not s.graph.keep_dangling:
-                return s.moved(df, "vertex")
+            if not s.graph.intact and not s.graph.keep_dangling:
+                df = df.join(s.graph.vertices.select(F.col("id").alias("__id")), "__id", "left_semi")
             return s.moved(df, "vertex")
 
         return self._then("hop", step)

@@ -21,7 +21,8 @@ def save(graph: Graph, path: str, mode: str = "error", bucket_vertices: int = 0)
 
 
 def load(spark: SparkSession, path: str, **settings) -> Graph:
-    return Graph(spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges"), **settings)
+    """Endpoints are not taken for granted; pass intact=True where they are known to exist."""
+    return Graph(spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges"), **({"intact": False} | settings))
 
 
 def save_tables(graph: Graph, name: str, buckets: int = 32) -> None:
@@ -31,7 +32,7 @@ def save_tables(graph: Graph, name: str, buckets: int = 32) -> None:
 
 
 def load_tables(spark: SparkSession, name: str) -> Graph:
-    return Graph(spark.table(f"{name}_vertices"), spark.table(f"{name}_edges"))
+    return Graph(spark.table(f"{name}_vertices"), spark.table(f"{name}_edges"), intact=False)
 
 
 def drop_tables(spark: SparkSession, name: str) -> None:
@@ -50,7 +51,7 @@ def read_json(spark: SparkSession, path: str, properties: str) -> Graph:
     vertices = rows.select("id", "label", *(F.col(f"properties.{n}")[0]["value"].alias(n) for n in names))
     out = rows.where("outE IS NOT NULL").select(F.col("id").alias("src"), F.explode("outE").alias("label", "e")).select("src", "label", F.explode("e").alias("e"))
     edges = out.select(F.col("e.id").alias("id"), "label", "src", F.col("e.inV").alias("dst"), *(F.col(f"e.properties.{n}").alias(n) for n in names))
-    return Graph(vertices, edges)
+    return Graph(vertices, edges, intact=False)
 
 
 def write_json(graph: Graph, path: str) -> None:
