@@ -159,6 +159,7 @@ def derive_edges(graph: Graph, label: str, rows: DataFrame) -> Graph:
     """Edges (src, dst, ...) of a new label; ids come from the endpoints and a number."""
     from pyspark.sql import Window as W
 
-    order = W.partitionBy("src", "dst").orderBy(*(c for c in rows.columns if c not in ("src", "dst")) or ("src",))
+    rest = [c for c in rows.columns if c not in ("src", "dst")]
+    order = W.partitionBy("src", "dst").orderBy(*(rest or ["src"]))
     named = rows.withColumn("id", F.concat_ws(":", F.lit(label), "src", "dst", F.row_number().over(order))).withColumn("label", F.lit(label))
     return graph.with_(edges=graph.edges.unionByName(named, allowMissingColumns=True))

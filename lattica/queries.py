@@ -516,3 +516,105 @@ def p06_motif(s, d):
 @query("WITH RECURSIVE l AS (SELECT 'nation:' || n_nationkey AS a, 'region:' || n_regionkey AS b FROM nation), b AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT 'nation:0' AS id, 0 AS w UNION SELECT b.b, w + 1 FROM r JOIN b ON a = id WHERE w < 4) SELECT x.id, CAST(min(w) AS DOUBLE) AS value FROM (SELECT 'nation:' || n_nationkey AS id FROM nation UNION SELECT 'region:' || r_regionkey FROM region) x LEFT JOIN r ON r.id = x.id GROUP BY 1")
 def p06_bfs(s, d):
     return G.bfs(star.graph(s, d, ("nation", "region"), ("in_region",)), "nation:0").withColumn("value", F.col("value").cast("double"))
+
+
+# schema, jobs, and the remaining steps
+
+
+def _schema() -> Catalog:
+    c = Catalog(use_schema=True).create_label("vertex", "customer", "string", c_name="string", c_nationkey="int")
+    c = c.create_label("vertex", "nation", "string", n_name="string").create_label("edge", "customer_in", "string")
+    return c.connect("customer", "customer_in", "nation")
+
+
+@query("SELECT 'vertex' AS type, 'customer' AS label, 'string' AS id_type, 2 AS n UNION ALL SELECT 'vertex', 'nation', 'string', 1 UNION ALL SELECT 'edge', 'customer_in', 'string', 0")
+def s17_labels(s, d):
+    return _schema().tables(s)["labels"].select("type", "label", "id_type", F.size("properties").alias("n"))
+
+
+@query("SELECT 'customer' AS out_label, 'customer_in' AS edge_label, 'nation' AS in_label")
+def s18_connections(s, d):
+    return _schema().tables(s)["connections"]
+
+
+@query("SELECT count(*) AS n FROM customer")
+def l12_validated_edges(s, d):
+    g = star.graph(s, d, ("customer", "nation"), ())
+    edges = star.edge_table(s, d, "customer_in")
+    return M.add_edges(g.with_(catalog=_schema()), edges).edges.agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'order:' || o_orderkey AS id, o_orderdate AS value FROM orders WHERE o_orderdate IS NOT NULL")
+def l02_populate_index(s, d):
+    return _indexed(s, d, "order", "o_orderdate")[1].select("id", "value")
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_totalprice < 100000")
+def w20_orphan_index_rows(s, d):
+    g = star.graph(s, d, ("order",), ())
+    index = L.index_projection(g, "vertex", "order", "o_totalprice")
+    return L.orphans(index, g.vertices.where("o_totalprice >= 100000")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT n AS times, count(*) AS ids FROM (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2) WHERE n > 1 GROUP BY 1")
+def w12_repeated_keys(s, d):
+    rows = star.read(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("times"))
+    return rows.where("times > 1").groupBy("times").agg(F.count("*").alias("ids"))
+
+
+@query(f"WITH {TRADE} SELECT 'nation:' || n_nationkey AS id, n_name, coalesce(degree, 0) AS degree FROM nation LEFT JOIN (SELECT src, count(*) AS degree FROM t GROUP BY 1) ON src = 'nation:' || n_nationkey")
+def p04_write_back(s, d):
+    g = star.trade(s, d)
+    found = A.degrees(g, "out").withColumnRenamed("degree", "value")
+    done = G.write_back(g, found, "degree")
+    return done.vertices.select("id", "n_name", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
+
+
+@query("SELECT 'peer:nation:' || a.n_nationkey || ':nation:' || b.n_nationkey || ':1' AS id FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def p04_derive_edges(s, d):
+    g = star.graph(s, d, ("nation", "region"), ("in_region",))
+    pairs = G.motifs(g, ("src", "e", "r", "in_region"), ("dst", "f", "r", "in_region"))
+    key = lambda c: F.split_part(F.col(c), F.lit(":"), F.lit(2)).cast("int")
+    return G.derive_edges(g, "peer", pairs.where(key("src") < key("dst")).select("src", "dst")).edges.where("label = 'peer'").select("id")
+
+
+@query("SELECT key, count(*) AS n FROM (SELECT 'p_size' AS key FROM part WHERE p_size IS NOT NULL UNION ALL SELECT 'p_brand' FROM part WHERE p_brand IS NOT NULL) GROUP BY 1")
+def f02_keys(s, d):
+    return star.graph(s, d, ("part",), ()).V().properties("p_size", "p_brand").key().groupCount().df().select("key", F.col("value").alias("n"))
+
+
+@query("SELECT o_totalprice AS value FROM orders ORDER BY o_totalprice, 'order:' || o_orderkey LIMIT 10 OFFSET 5")
+def g09_range(s, d):
+    return star.graph(s, d, ("order",), ()).V().order("o_totalprice").range(5, 15).values("o_totalprice").df()
+
+
+@query("SELECT v AS id, o_totalprice FROM (SELECT 'placed:' || o_orderkey AS v, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, 'placed:' || o_orderkey) AS r FROM orders) WHERE r <= 2")
+def g17_local(s, d):
+    g = star.graph(s, d, ("customer",), ("placed",))
+    return g.V().local(__.outE("placed").order(("o_totalprice", "desc")).limit(2)).df().select("id", "o_totalprice")
+
+
+@query("SELECT n AS key, count(*) AS value FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1) GROUP BY 1")
+def g16_group_by_child(s, d):
+    return star.graph(s, d, ("customer",), ("placed",)).V().groupCount(__.out("placed").count()).df()
+
+
+@query("SELECT count(*) AS value FROM nation")
+def g13_cyclic_path(s, d):
+    g = star.graph(s, d, ("nation", "region"), ("in_region",))
+    return g.V().hasLabel("nation").out("in_region").in_("in_region").cyclicPath().count().df()
+
+
+@query("SELECT count(*) AS n, CAST(sum(p_size) AS BIGINT) AS total FROM (SELECT CASE WHEN p_partkey < 10 THEN 0 ELSE p_size END AS p_size FROM part UNION ALL SELECT 7)")
+def g21_merge(s, d):
+    g = star.graph(s, d, ("part",), ())
+    batch = g.vertices.where("p_partkey < 10").select("id", "label", F.lit(0).alias("p_size")).unionByName(s.createDataFrame([("part:new", "part", 7)], "id string, label string, p_size int"))
+    return M.merge_vertices(g, batch, ["id", "label"]).vertices.agg(F.count("*").alias("n"), F.sum("p_size").alias("total"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT date_trunc('day', ts)) AS days FROM events GROUP BY 1")
+def t01_windowed_counts(s, d):
+    from .streaming.changes import windowed_counts
+
+    rows = windowed_counts(star.read(s, d, "events"), "1 day", "1 hour")
+    return rows.groupBy("event_type").agg(F.sum("n").alias("n"), F.count("*").alias("days"))
