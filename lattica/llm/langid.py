@@ -189,7 +189,10 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = TRAIN_DOCS) -> ByteTagger | None:
     """A network trained on at most `most` rows whose id is not held out."""
     rows = docs.where((C.crc_third(id) != 1) & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= TRAIN_DOC_BYTES))
-    sample = rows.select(F.xxhash64(F.col(id).cast("string")).alias("h"), F.col(id).cast("string").alias("i"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).orderBy("h", "i", "t", "l").limit(most).collect()
+    # ids first, so that no task sends texts which are not picked
+    picked = rows.select(F.col(id).alias("i")).distinct().orderBy(F.xxhash64(F.col("i").cast("string")), "i").limit(most)
+    texts = rows.select(F.col(id).alias("i"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
+    sample = texts.join(F.broadcast(picked), "i").orderBy(F.xxhash64(F.col("i").cast("string")), "i", "t", "l").limit(most).collect()
     if not sample:
         return None
     labels = sorted({r.l for r in sample})
