@@ -12,6 +12,8 @@ answers for one run of consecutive string starts.
    (length of the prefix shared with the predecessor, and the remaining bytes).
 2. Exchange: the sorted runs go to buckets by the hash of the anchor's piece.  Buckets
    grow in number with the corpus (`BUCKET_BYTES`), so that a task holds a bounded part.
+   Pieces with very many different contexts (a line that a third of all texts share) are
+   found beforehand and spread over buckets by what their strings have in common.
 3. Reduce: contexts without any partner are dropped, the runs are combined by a loser tree
    that carries common prefix lengths and compares bytes only beyond them, and the merged
    order with its prefix lengths names the class of every suffix prefix; the reversed left
@@ -40,33 +42,41 @@ from . import common as C
 LENGTH = 100
 GRAM = 24
 LEFT = LENGTH - GRAM
-#: Bytes of text in one sorted run, and in the buckets that one task settles at a time.
+#: Bytes of text in one sorted run and in one bucket, and buckets in a task.
 RUN_BYTES = 16_000_000
 BUCKET_BYTES = 2_000_000
+TASK_BUCKETS = 4
+#: Distinct contexts from which on a piece counts as frequent, the share of them that is
+#: counted, and the sub-ranges into which frequent ones are split.
+HOT_ROWS, HOT_SAMPLE, HOT_PARTS = 8192, 64, 8
 _POSITION_BITS = 28
 
 _weights = C.mix(np.arange(1, 4 * LENGTH + 1, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)) | np.uint64(1)
 
 
-def _row_hash(m: np.ndarray, salt: int = 0) -> np.ndarray:
-    """64-bit hash of each row of a byte matrix, column by column."""
-    h = np.zeros(len(m), np.uint64)
-    for j in range(m.shape[1]):
-        h += C.BYTE_VALUE[m[:, j]] * _weights[j + salt]
+def _row_hash(*parts: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hash of each row of byte matrices side by side, column by column."""
+    h, k = np.zeros(len(parts[0]), np.uint64), salt
+    for m in parts:
+        for column in m.T if m.ndim > 1 else (m,):
+            h += C.BYTE_VALUE[column] * _weights[k]
+            k += 1
     return C.mix(h)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, anchor, first and last start of the strings that it answers for)."""
+    """(document, anchor, first and last start of the strings that it answers for, hash of
+    the anchor's piece, hash of pieces at both ends of its context)."""
     n = len(data)
-    none = tuple(np.zeros(0, np.int64) for _ in range(4))
+    none = (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     if n < LENGTH:
         return none
     prefix = C.prefix_hash(C.BYTE_VALUE[data])
     _, down = C.powers(n)
     v = C.mix((prefix[GRAM:] - prefix[:-GRAM]) * down[: n - GRAM + 1])
+    pieces = v
     bits = max(_POSITION_BITS, n.bit_length())
-    v &= ~np.uint64((1 << bits) - 1)
+    v = v & ~np.uint64((1 << bits) - 1)
     v |= np.arange(len(v), dtype=np.uint64)
     width, m = 1, v
     while 2 * width <= LEFT + 1:
@@ -87,7 +97,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
     doc = np.searchsorted(offsets, starts[first], "right") - 1
-    return doc, at[first], starts[first], starts[last]
+    at, lo, hi = at[first], starts[first], starts[last]
+    ends = C.mix(pieces[hi + LEFT] + np.uint64(3) * pieces[lo] + (hi - at).astype(np.uint64) * np.uint64(LENGTH) + (at - lo).astype(np.uint64))
+    return doc, at, lo, hi, pieces[at], ends
 
 
 def contexts(data: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -219,7 +231,7 @@ def _partnered(right: np.ndarray, left: np.ndarray, r: np.ndarray, n_left: np.nd
     half = (LENGTH + GRAM) // 2
     back = LENGTH - half + 1
     ok = np.zeros(len(r), bool)
-    for rows, h in ((np.flatnonzero(r >= half), lambda i: _row_hash(right[i, :half])), (np.flatnonzero(n_left >= back), lambda i: _row_hash(np.concatenate((left[i, :back], right[i, :GRAM]), 1), LENGTH))):
+    for rows, h in ((np.flatnonzero(r >= half), lambda i: _row_hash(right[i, :half])), (np.flatnonzero(n_left >= back), lambda i: _row_hash(left[i, :back], right[i, :GRAM], salt=LENGTH))):
         if len(rows):
             _, inverse, n = np.unique(h(rows), return_inverse=True, return_counts=True)
             ok[rows[n[inverse] > 1]] = True
@@ -235,7 +247,7 @@ def repeats(runs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray,
     keep = np.flatnonzero(_partnered(right, left, r, n_left))
     # equal contexts in different runs: all but the earliest are repeats as a whole
     if len(keep):
-        whole = _row_hash(np.concatenate((right[keep], left[keep], r[keep, None], n_left[keep, None]), 1))
+        whole = _row_hash(right[keep], left[keep], r[keep], n_left[keep])
         order = np.lexsort((pos[keep], key[keep, 1], key[keep, 0], whole))
         again = np.zeros(len(order), bool)
         again[1:] = whole[order][1:] == whole[order][:-1]
@@ -307,36 +319,86 @@ def _span_blob(key, start, end, pack) -> bytes:
     return b"\0" + pack(np.column_stack((key, start, end)).astype(np.int64).tobytes())
 
 
-def _runs(buckets: int, run_bytes: int):
+def frequent_pieces(keyed: DataFrame, total: int, rows: int = HOT_ROWS) -> np.ndarray:
+    """Sorted hashes of the pieces whose anchors have about `rows` distinct contexts or more
+    (estimated from the contexts that hash to one in HOT_SAMPLE, over all documents).  The
+    limit rises with the corpus, so that the list stays under a million."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = C.buffers(batch.column(2))
+            for a, b in C.doc_chunks(offsets):
+                *_, piece, ends = anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                own = ends % np.uint64(HOT_SAMPLE) == 0
+                pairs = np.unique(np.column_stack((piece[own], ends[own])).view(np.int64), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, j])) for j in range(2)], names=["p", "e"])
+
+    least = max(rows, total // 40_000_000) / HOT_SAMPLE
+    found = keyed.mapInArrow(run, "p long, e long").distinct().groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r.p for r in found.orderBy(F.desc("n"), "p").limit(1 << 20).select("p").collect()], np.int64).view(np.uint64))
+
+
+def split_ranges(right, left, r, n_left, piece, buckets: int):
+    """Contexts of frequent pieces by sub-ranges of their strings' starts: what all strings
+    of a sub-range have in common decides the bucket, so one piece fills many buckets.
+    Yields (rows, right, left, r, n_left, bucket)."""
+    width = -(-(LEFT + 1) // HOT_PARTS)
+    for a0 in range(0, LEFT + 1, width):
+        a1 = min(a0 + width - 1, LEFT)
+        own = np.flatnonzero((n_left >= a0) & (LENGTH - r.astype(np.int64) <= a1))
+        if not len(own):
+            continue
+        x, y = right[own].copy(), left[own].copy()
+        x[:, LENGTH - a0 :] = 0
+        y[:, a1:] = 0
+        core = _row_hash(x[:, : LENGTH - a1], y[:, :a0], salt=LENGTH)
+        bucket = (C.mix(core ^ piece[own] + np.uint64(a0)) % np.uint64(buckets)).astype(np.int64)
+        yield own, x, y, np.minimum(r[own], LENGTH - a0).astype(np.uint8), np.minimum(n_left[own], a1).astype(np.uint8), bucket
+
+
+def _runs(buckets: int, run_bytes: int, frequent):
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3).compress
         held, ids, size = [], [], 0
 
         def flush():
             table = np.concatenate(ids)
-            doc, pos, right, left, r, n_left, whole = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc, pos, right, left, r, n_left, piece = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order = np.lexsort((pos, table[doc, 1], table[doc, 0], whole))
-            again = np.zeros(len(order), bool)
-            again[1:] = whole[order][1:] == whole[order][:-1]
-            gone = order[again]
-            out_bucket, out_blob = [], []
-            if len(gone):
-                spans = merged(table[doc[gone]], pos[gone] - n_left[gone], pos[gone] + r[gone])
-                out_bucket.append(int(whole[order[0]] % np.uint64(buckets)))
-                out_blob.append(_span_blob(*spans, pack))
-            keep = order[~again]
-            bucket = (_row_hash(right[keep, :GRAM], LENGTH) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(right[keep].view(f"S{LENGTH}").ravel(), kind="stable")
-            by = by[np.argsort(bucket[by], kind="stable")]
-            keep, bucket = keep[by], bucket[by]
-            doc, pos, right, left, r, n_left = (x[keep] for x in (doc, pos, right, left, r, n_left))
-            cuts = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(bucket))
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                own = slice(a, b)
-                out_bucket.append(int(bucket[a]))
-                out_blob.append(encode(table, doc[own], pos[own], right[own], left[own], r[own], n_left[own], pack))
             ids.clear()
+            hot = frequent.value
+            many = hot[np.minimum(np.searchsorted(hot, piece), len(hot) - 1)] == piece if len(hot) else np.zeros(len(piece), bool)
+            parts = []
+            for own, split in ((np.flatnonzero(~many), False), (np.flatnonzero(many), True)):
+                if not len(own):
+                    continue
+                x = right[own], left[own], r[own], n_left[own], piece[own]
+                if split:
+                    parts += [(own[rows], *rest) for rows, *rest in split_ranges(*x, buckets)]
+                else:
+                    parts.append((own, *x[:4], (C.mix(x[4]) % np.uint64(buckets)).astype(np.int64)))
+            del right, left, r, n_left
+            out_bucket, out_blob, settled = [], [], []
+            for own, right, left, r, n_left, bucket in parts:
+                d, p = doc[own], pos[own]
+                whole = _row_hash(right, left, r, n_left)
+                order = np.lexsort((p, table[d, 1], table[d, 0], whole))
+                again = np.zeros(len(order), bool)
+                again[1:] = whole[order][1:] == whole[order][:-1]
+                gone, keep = order[again], order[~again]
+                settled.append((table[d[gone]], p[gone] - n_left[gone], p[gone] + r[gone]))
+                by = np.argsort(right[keep].view(f"S{LENGTH}").ravel(), kind="stable")
+                keep = keep[by[np.argsort(bucket[keep[by]], kind="stable")]]
+                d, p, right, left, r, n_left, bucket = (x[keep] for x in (d, p, right, left, r, n_left, bucket))
+                cuts = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(bucket))
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    o = slice(a, b)
+                    out_bucket.append(int(bucket[a]))
+                    out_blob.append(encode(table, d[o], p[o], right[o], left[o], r[o], n_left[o], pack))
+            spans = merged(*(np.concatenate(x) for x in zip(*settled, strict=True)))
+            if len(spans[1]):
+                out_bucket.append(int(C.mix(piece[:1])[0] % np.uint64(buckets)))
+                out_blob.append(_span_blob(*spans, pack))
             return pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int64()), pa.array(out_blob, pa.binary())], names=["bucket", "run"])
 
         docs = 0
@@ -345,11 +407,9 @@ def _runs(buckets: int, run_bytes: int):
             data, offsets = C.buffers(batch.column(2))
             for a, b in C.doc_chunks(offsets, min(C.CHUNK_BYTES, run_bytes)):
                 piece, cuts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                doc, at, lo, hi = anchors(piece, cuts)
+                doc, at, lo, hi, gram, _ = anchors(piece, cuts)
                 if len(doc):
-                    right, left, r, n_left = contexts(piece, at, lo, hi)
-                    whole = _row_hash(np.concatenate((right, left, r[:, None], n_left[:, None]), 1))
-                    held.append((doc + docs, at - cuts[doc], right, left, r, n_left, whole))
+                    held.append((doc + docs, at - cuts[doc], *contexts(piece, at, lo, hi), gram))
                 ids.append(own[a:b])
                 docs += b - a
                 size += len(piece)
@@ -405,21 +465,23 @@ def _apply(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())], names=["id", "n_bytes", "n_removed", "n_spans", "sha"])
 
 
-def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", run_bytes: int = RUN_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", run_bytes: int = RUN_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows (id, th, spans): the covered intervals of each document that has any; th is the
     hash of its text."""
     keyed = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") >= LENGTH)
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    runs = keyed.mapInArrow(_runs(buckets, run_bytes), "bucket long, run binary")
-    spans = runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge, "id long, th long, s long, e long")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_pieces(keyed, total, hot_rows))
+    runs = keyed.mapInArrow(_runs(buckets, run_bytes, frequent), "bucket long, run binary")
+    # so many partitions that a task's part stays the same at any size
+    spans = runs.repartition(-(-buckets // TASK_BUCKETS), "bucket").sortWithinPartitions("bucket").mapInArrow(_merge, "id long, th long, s long, e long")
     return spans.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", run_bytes: int = RUN_BYTES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", run_bytes: int = RUN_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows (__id, n_bytes, n_removed, n_spans, sha), one per document."""
     with C.released_shuffles(docs.sparkSession):  # the runs need disk until the intervals are written
-        spans = C.shared_table(repeated_spans(docs, id, text, run_bytes))
+        spans = C.shared_table(repeated_spans(docs, id, text, run_bytes, hot_rows))
     rows = docs.select(F.col(id).alias("__id"), F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("th"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind = rows.select(F.col("__id").alias("id")).schema["id"].dataType.simpleString()
     joined = rows.join(spans, ["id", "th"], "left").select("__id", "text", "spans")

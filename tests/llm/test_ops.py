@@ -79,17 +79,29 @@ def brute_repeats(rows, length=suffix_dedup.LENGTH):
     return out
 
 
-@pytest.mark.parametrize("run_bytes", [3000, 10**8])
-def test_suffix_dedup(spark, run_bytes):
+@pytest.mark.parametrize(("run_bytes", "hot_rows"), [(3000, suffix_dedup.HOT_ROWS), (10**8, suffix_dedup.HOT_ROWS), (3000, 1)])
+def test_suffix_dedup(spark, run_bytes, hot_rows):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(2, 8)))
     passage = [" ".join(word() for _ in range(60)) for _ in range(4)]
     rows = [(i, " ".join(rng.choice([word(), rng.choice(passage), rng.choice(passage)[rng.randrange(90) :], "x" * rng.randrange(1, 300)]) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
     rows += [(60, None), (61, ""), (62, "ab" * 400), (63, rows[5][1]), (64, rows[5][1][40:190])]
-    found = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), run_bytes=run_bytes).collect()
+    found = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), run_bytes=run_bytes, hot_rows=hot_rows).collect()
     assert {r["__id"]: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in found} == brute_repeats(rows)
 
 
+def test_split_ranges_keep_every_string():
+    rng = np.random.default_rng(1)
+    n = 50
+    r, left = rng.integers(24, 101, n).astype(np.uint8), rng.integers(0, 77, n).astype(np.uint8)
+    m = rng.integers(97, 100, (n, 176)).astype(np.uint8)
+    seen = collections.Counter()
+    for own, _, _, r2, left2, _ in suffix_dedup.split_ranges(m[:, :100], m[:, 100:], r, left, np.zeros(n, np.uint64), 7):
+        for i, a, b in zip(own.tolist(), r2.tolist(), left2.tolist()):
+            seen.update((i, k) for k in range(100 - a, b + 1))
+    assert seen == {(i, k): 1 for i in range(n) for k in range(100 - int(r[i]), int(left[i]) + 1)}
+
+
 def test_loser_tree_equals_sorting():
     rng = random.Random(1)
     runs = []
