@@ -249,9 +249,8 @@ def repeats(runs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray,
     if len(keep):
         whole = _row_hash(right[keep], left[keep], r[keep], n_left[keep])
         order = np.lexsort((pos[keep], key[keep, 1], key[keep, 0], whole))
-        again = np.zeros(len(order), bool)
-        again[1:] = whole[order][1:] == whole[order][:-1]
-        gone = keep[order[again]]
+        again, twice = repeated(whole[order], key[keep[order]], pos[keep[order]])
+        gone = keep[order[again & ~twice]]
         found.append((key[gone], pos[gone] - n_left[gone], pos[gone] + r[gone]))
         keep = np.sort(keep[order[~again]])
     if len(keep) > 1:
@@ -297,6 +296,15 @@ def repeats(runs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def repeated(whole: np.ndarray, key: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For contexts sorted by content and place: whether one equals its predecessor, and
+    whether it is the very same place (a row that the table holds twice)."""
+    again, twice = np.zeros(len(whole), bool), np.zeros(len(whole), bool)
+    again[1:] = whole[1:] == whole[:-1]
+    twice[1:] = again[1:] & (key[1:] == key[:-1]).all(1) & (pos[1:] == pos[:-1])
+    return again, twice
+
+
 def merged(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
     """Intervals of a document that touch or overlap become one."""
     if not len(start):
@@ -383,9 +391,8 @@ def _runs(buckets: int, run_bytes: int, frequent):
                 d, p = doc[own], pos[own]
                 whole = _row_hash(right, left, r, n_left)
                 order = np.lexsort((p, table[d, 1], table[d, 0], whole))
-                again = np.zeros(len(order), bool)
-                again[1:] = whole[order][1:] == whole[order][:-1]
-                gone, keep = order[again], order[~again]
+                again, twice = repeated(whole[order], table[d[order]], p[order])
+                gone, keep = order[again & ~twice], order[~again]
                 settled.append((table[d[gone]], p[gone] - n_left[gone], p[gone] + r[gone]))
                 by = np.argsort(right[keep].view(f"S{LENGTH}").ravel(), kind="stable")
                 keep = keep[by[np.argsort(bucket[keep[by]], kind="stable")]]

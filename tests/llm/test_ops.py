@@ -90,6 +90,15 @@ def test_suffix_dedup(spark, run_bytes, hot_rows):
     assert {r["__id"]: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in found} == brute_repeats(rows)
 
 
+def test_rows_twice_are_one_document(spark):
+    text = " ".join(f"word{k * 7 % 101}" for k in range(80))
+    rows = [(1, text), (1, text), (2, text), (2, text), (3, "x" + text)]
+    for run_bytes in (500, 10**8):
+        got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), run_bytes=run_bytes).collect()
+        n = len(text)
+        assert sorted((r["__id"], r.n_removed) for r in got) == [(1, 0), (1, 0), (2, n), (2, n), (3, n)]
+
+
 def test_split_ranges_keep_every_string():
     rng = np.random.default_rng(1)
     n = 50
