@@ -10,7 +10,7 @@ are summed per task before they are shuffled), so equal windows are one row with
 Training is data-parallel on those rows: in each round every partition walks its rows with
 Adam steps from the common weights, and the weights are averaged by the windows behind
 them.  What the driver holds is one set of weights and as many copies as the table has
-partitions (`PARTS`), whatever the size of the corpus.
+partitions (`PARTS` to `MOST_PARTS`), whatever the size of the corpus.
 
 Edge cases: null or empty text has 0 tokens, log-probability 0 and a null mean; positions
 near the ends see byte 0 beyond the text; repeated rows weigh twice in training and score
@@ -31,7 +31,8 @@ from . import common as C
 SIDE = 2
 HIDDEN = 24
 ROUNDS = 5
-PARTS = 12
+#: Least and most partitions of the window table in training, and windows in one of them.
+PARTS, MOST_PARTS, PART_WINDOWS = 12, 256, 2_000_000
 #: Windows scored at once, windows of one training step, and least steps on an Arrow batch.
 BATCH = 4096
 TRAIN_BATCH = 512
@@ -159,7 +160,9 @@ def windows(docs: DataFrame, text: str = "text") -> DataFrame:
 def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, parts: int = PARTS) -> tuple[WindowNet, list[float]]:
     """The trained network and the mean log-loss that each round began with."""
     spark = docs.sparkSession
-    table = C.shared_table(windows(docs, text).withColumn("h", F.xxhash64("code")).repartition(parts, "code").sortWithinPartitions("h").select("code", "n"))
+    counted = C.shared_table(windows(docs, text))
+    parts = min(MOST_PARTS, max(parts, counted.count() // PART_WINDOWS))
+    table = C.shared_table(counted.withColumn("h", F.xxhash64("code")).repartition(parts, "code").sortWithinPartitions("h").select("code", "n"))
     flat, losses = WindowNet().flat(), []
     for r in range(rounds):
         sent, rate = spark.sparkContext.broadcast(flat), 0.02 / (1 + r)
