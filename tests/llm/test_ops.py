@@ -270,6 +270,16 @@ def test_deobfuscation_and_scores(spark):
     assert [got[1000 + k] >= 0.7 for k in range(7)] == [True] * 4 + [False] * 3
 
 
+def test_long_tokens_are_decoded_whole():
+    counts = collections.Counter()
+    for w in ("  snarkfang ", "  table ", "  letter "):
+        counts.update(w[k : k + 3] for k in range(len(w) - 2))
+    model = toxicity.CharModel({g: 50 * n for g, n in counts.items()})
+    assert toxicity.decode("sn4rkf" + "a" * 5000 + "ng", model) == "snarkfang"
+    assert toxicity.decode("s" + "-" * 300 + "narkf@ng", model) == "snarkfang"
+    assert toxicity.decode("", model) == toxicity.decode("...", model) == ""
+
+
 # 8
 
 
