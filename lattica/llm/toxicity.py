@@ -144,16 +144,18 @@ class Restorer:
         self.model = CharModel(counts)
         self.known: dict[str, str] = {}
 
+    def reading(self, token: str) -> str:
+        if token not in self.known:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            self.known[token] = decode(token.strip("\"#%&()*,-./:;<=>?[]^_`{}~' "), self.model)
+        return self.known[token]
+
     def words(self, low: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Documents and hashes of each restored token and its stems."""
         docs, texts = disguised(low, offsets)
-        for t in texts:
-            if t not in self.known:
-                if len(self.known) > CACHE:
-                    self.known.clear()
-                core = t.strip("\"#%&()*,-./:;<=>?[]^_`{}~' ")
-                self.known[t] = decode(core, self.model)
-        data, cuts = C.buffers(pa.array([self.known.get(t, "") for t in texts], pa.large_string()))
+        here = {t: self.reading(t) for t in set(texts)}  # the cache may be cleared on the way
+        data, cuts = C.buffers(pa.array([here[t] for t in texts], pa.large_string()))
         prefix, s, e = C.prefix_hash(C.BYTE_VALUE[data]), cuts[:-1], cuts[1:]
         owners, hashes = [docs], [C.span_hash(prefix, s, e)]
         for k in STEMS:

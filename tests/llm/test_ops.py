@@ -280,6 +280,30 @@ def test_long_tokens_are_decoded_whole():
     assert toxicity.decode("", model) == toxicity.decode("...", model) == ""
 
 
+def bytes_and_offsets(*texts):
+    return common.buffers(pa.array([t.lower() for t in texts]))
+
+
+def word_counts(*words, n=50):
+    counts = collections.Counter()
+    for w in words:
+        w = f"  {w} "
+        counts.update({w[k : k + 3]: n for k in range(len(w) - 2)})
+    return counts
+
+
+@pytest.mark.parametrize("cache", [1, 2])
+def test_a_full_cache_loses_no_reading(cache, monkeypatch):
+    counts = word_counts("snarkfang", "table", "letter")
+    chunk = bytes_and_offsets("sn4rkfang t4ble l3tter sn4rkfang", "t4ble sn4rkf@ng l3tt3r")
+    restore = toxicity.Restorer(counts)
+    want = [np.concatenate(x).tolist() for x in restore.words(*chunk)]
+    monkeypatch.setattr(toxicity, "CACHE", cache)
+    restore = toxicity.Restorer(counts)
+    for _ in range(2):
+        assert [np.concatenate(x).tolist() for x in restore.words(*chunk)] == want
+
+
 # 8
 
 
