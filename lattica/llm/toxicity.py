@@ -4,7 +4,8 @@ A token that looks disguised (digits or signs among letters, letters repeated th
 or more, letters set apart by blanks or signs) spans a lattice: every character offers the
 letters it may stand for, and repeated letters may be dropped.  A Viterbi search over
 pairs of letters finds the reading with the highest sum of channel and character language
-model log-probabilities.  Undisguised tokens have one path only and stay as they are.  The
+model log-probabilities.  A row of letters set apart by blanks may hold several words: each
+blank offers a word break.  Undisguised tokens have one path only and stay as they are.  The
 restored text is then scored: a logistic regression over the presence of words and stems whose
 share among documents labelled toxic is significantly high.
 
@@ -73,10 +74,16 @@ class CharModel:
 
 def decode(token: str, model: CharModel) -> str:
     """The best reading of a lower-case token: Viterbi over (last two letters).  A reading is
-    a chain of (reading before, letter), so the time grows with the length of the token."""
+    a chain of (reading before, letter), so the time grows with the length of the token.
+    A blank between letters may be a word break, which ends one word and begins the next."""
     states: dict[tuple[str, str], tuple[float, tuple | None]] = {(" ", " "): (0.0, None)}
     previous = ""
     for c in token:
+        if c == " ":
+            for (a, b), (score, chain) in list(states.items()):
+                s = score + model.log(a, b, " ")
+                if chain and s > states.get((" ", " "), (-math.inf, None))[0]:
+                    states[" ", " "] = s, (chain, " ")
         if c in ".-_*'~,/ ":
             continue
         offers = [(x, LEET_COST) for x in STANDS_FOR.get(c, "")]
@@ -87,7 +94,7 @@ def decode(token: str, model: CharModel) -> str:
                 s = score + cost + model.log(a, b, x)
                 if s > after.get((b, x), (-math.inf, None))[0]:
                     after[b, x] = s, (chain, x)
-            if c == previous and chain and any(x == b for x, _ in offers):  # a repetition may be dropped
+            if c == previous and chain and b != " " and any(x == b for x, _ in offers):  # a repetition may be dropped
                 s = score + DROP_COST
                 if s > after.get((a, b), (-math.inf, None))[0]:
                     after[a, b] = s, chain
@@ -100,39 +107,75 @@ def decode(token: str, model: CharModel) -> str:
     return "".join(reversed(letters))
 
 
+def code_points(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 documents, and how many start before each byte."""
+    start = (low & 0xC0) != 0x80
+    start[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+    at = np.flatnonzero(start)
+    before = np.concatenate(([0], np.cumsum(start)))
+    points = low[at].astype(np.int32)
+    wide = np.flatnonzero(points >= 0xC0)
+    size = 2 + (points[wide] >= 0xE0) + (points[wide] >= 0xF0)
+    value = points[wide] & (0x7F >> size)
+    for k in range(1, 4):
+        more = size > k
+        value[more] = value[more] << 6 | low[np.minimum(at[wide[more]] + k, len(low) - 1)] & 0x3F
+    points[wide] = np.minimum(value, 0x10FFFF)
+    return points, before
+
+
+def _classes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which code points are letters, and which are signs."""
+    short = np.minimum(points, 0x7F)
+    letter, sign = _LETTER[short], _SIGN[short]
+    wide = np.flatnonzero(points > 0x7F)
+    values, place = np.unique(points[wide], return_inverse=True)
+    letter[wide] = np.array([chr(c).isalpha() for c in values.tolist()], bool)[place]
+    return letter, sign
+
+
 def disguised(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[str]]:
-    """Documents and texts of the tokens, or rows of single letters, that look disguised."""
+    """Documents and texts of the tokens, or rows of single letters, that look disguised.  A
+    token begins at its first letter or sign and ends at its last one; the signs ! | + at its
+    end are punctuation, all others count wherever they stand."""
     s, e, bounds = C.words(low, offsets, C.SPACE_WORDS)
     if not len(s):
         return np.zeros(0, np.int64), []
-    letter, sign, joiner = _LETTER[low], _SIGN[low], _JOINER[low]
+    points, before = code_points(low, offsets)
+    letter, sign = _classes(points)
+    s, e = before[s], before[e]
+    core = letter | sign
+    place = np.arange(len(points))
+    first = np.minimum.accumulate(np.where(core, place, len(points))[::-1])[::-1]
+    last = np.maximum.accumulate(np.where(core & ~np.isin(points, [ord(c) for c in "!|+"]), place, -1))
+    s, e = np.minimum(first[s], e), last[e - 1] + 1
+    e = np.maximum(s, e)
+    joiner = _JOINER[np.minimum(points, 0x7F)]
     sums = lambda m: (lambda c: c[e] - c[s])(np.concatenate(([0], np.cumsum(m))))
     n_letter = sums(letter)
-    same = np.zeros(len(low), bool)
-    same[1:] = low[1:] == low[:-1]
-    same[s] = False  # nothing reaches into the document before
-    triple = np.zeros(len(low), bool)
+    # a token's first place looks back at another token, so repetitions and pairs start behind it
+    open_ = np.ones(len(points) + 1, bool)
+    open_[s] = False
+    same = np.zeros(len(points), bool)
+    same[1:] = (points[1:] == points[:-1]) & open_[1:-1]
+    triple = np.zeros(len(points), bool)
     triple[2:] = same[2:] & same[1:-1] & letter[2:]
-    pair = np.zeros(len(low), bool)  # two letters side by side
-    pair[1:] = letter[1:] & letter[:-1]
-    pair[s] = False
-    # signs at a token's end, repeated or of two kinds, are punctuation
-    inner = sign.copy()
-    inner[e - 1] &= ~np.isin(low[e - 1], np.frombuffer(b"!|+", np.uint8))
-    run = sign & same
-    flagged = (n_letter >= 2) & (sums(inner) > 0) & (sums(run) == 0)
+    pair = np.zeros(len(points), bool)  # two letters side by side
+    pair[1:] = letter[1:] & letter[:-1] & open_[1:-1]
+    flagged = (n_letter >= 2) & (sums(sign) > 0)
     flagged |= (n_letter > 0) & (sums(triple) > 0)
     flagged |= (n_letter >= 3) & (sums(pair) == 0) & (sums(joiner) >= 2)
     doc = np.searchsorted(bounds, np.arange(len(s)), "right") - 1
-    docs, texts = doc[flagged].tolist(), [low[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(s[flagged].tolist(), e[flagged].tolist(), strict=True)]
-    single = np.concatenate(([False], ((e - s) == 1) & _CORE[low[s]], [False]))
+    text = lambda a, b: "".join(map(chr, points[a:b].tolist())).encode("utf-8", "replace").decode()
+    docs, texts = doc[flagged].tolist(), [text(a, b) for a, b in zip(s[flagged].tolist(), e[flagged].tolist(), strict=True)]
+    single = np.concatenate(([False], (e - s) == 1, [False]))
     edge = np.flatnonzero(single[1:] != single[:-1])
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
         while b - a >= 3:
             stop = min(b, int(bounds[doc[a] + 1]))
             if stop - a >= 3:
                 docs.append(int(doc[a]))
-                texts.append(" ".join(low[s[a:stop]].tobytes().decode("latin-1")))
+                texts.append(" ".join(text(k, k + 1) for k in s[a:stop].tolist()))
             a = stop
     return np.array(docs, np.int64), texts
 
@@ -148,14 +191,16 @@ class Restorer:
         if token not in self.known:
             if len(self.known) >= CACHE:
                 self.known.clear()
-            self.known[token] = decode(token.strip("\"#%&()*,-./:;<=>?[]^_`{}~' "), self.model)
+            self.known[token] = decode(token, self.model)
         return self.known[token]
 
     def words(self, low: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Documents and hashes of each restored token and its stems."""
         docs, texts = disguised(low, offsets)
         here = {t: self.reading(t) for t in set(texts)}  # the cache may be cleared on the way
-        data, cuts = C.buffers(pa.array([here[t] for t in texts], pa.large_string()))
+        words = {t: here[t].split(" ") for t in here}
+        docs = np.repeat(docs, [len(words[t]) for t in texts])
+        data, cuts = C.buffers(pa.array([w for t in texts for w in words[t]], pa.large_string()))
         prefix, s, e = C.prefix_hash(C.BYTE_VALUE[data]), cuts[:-1], cuts[1:]
         owners, hashes = [docs], [C.span_hash(prefix, s, e)]
         for k in STEMS:

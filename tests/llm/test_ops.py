@@ -304,6 +304,17 @@ def test_a_full_cache_loses_no_reading(cache, monkeypatch):
         assert [np.concatenate(x).tolist() for x in restore.words(*chunk)] == want
 
 
+def test_repeated_signs_and_wide_letters_are_decoded():
+    counts = word_counts("hoosebang", "assel", "grünling", "stone", "you", "are", "a", "snarkfang", "the")
+    model = toxicity.CharModel(counts)
+    texts = ["h00sebang!! the st0ne+", "a$$el", "gr" + "ü" * 4 + "nling", "g r ü n l i n g", "stone!! stone!? 2024!! ———", "you a r e a s n a r k f a n g"]
+    docs, found = toxicity.disguised(*bytes_and_offsets(*texts))
+    got = collections.defaultdict(set)
+    for d, t in zip(docs.tolist(), found):
+        got[d] |= set(toxicity.decode(t, model).split(" "))
+    assert got == {0: {"hoosebang", "stone"}, 1: {"assel"}, 2: {"grünling"}, 3: {"grünling"}, 5: {"are", "a", "snarkfang"}}
+
+
 # 8
 
 
