@@ -5,9 +5,15 @@ sets form one class, of which only the smallest id goes on.  `TREES` independent
 branch classes by minwise tokens: a node at depth two is the pair of tokens chosen there;
 nodes with more than `LEAF` members branch deeper, up to four tokens.  Two sets of
 similarity 0.8 stay together at depth two with probability 0.64, so twelve trees miss a
-link with probability 5e-6.  Members of a node are compared exhaustively, first by a
-128-slot sketch; what passes it (more than 4.5 standard deviations below the limit) joins
-a candidate cluster, as a star and never as all pairs.
+link with probability 5e-6.  At depth four this is 0.41 only, so classes of any larger
+node at depth two get `MORE` further trees, which miss a link with probability 3e-6 if
+all nodes branch to the end, and less together with the first twelve.  Members of a node
+are compared exhaustively, first by a 128-slot sketch; what passes it (more than 4.5
+standard deviations below the limit) joins a candidate cluster, as a star and never as all
+pairs.  A node that is still larger at depth four is dealt over blocks that share its
+smallest id; members outside the candidate cluster that most of the node is in by then
+are compared with all its members, block against block, so no pair of a node stays open
+unless both are in one cluster already.
 
 Every candidate cluster is then settled exactly on the full sets.  A cluster of up to
 `BLOCK` classes is one block in which all sets are compared.  A larger one is dealt over
@@ -33,12 +39,12 @@ from pyspark.sql import types as T
 from . import common as C
 
 WORDS = 4
-TREES, DEPTH = 12, 4
+TREES, MORE, DEPTH = 12, 24, 4
 LEAF, BLOCK, PIVOTS, QUERIES = 200, 200, 32, 2000
 SLOTS, EMPTY, SKETCH_MIN = 128, 255, 0.64
 PERCENT = 80
 
-_seeds = C.mix(np.arange(1, 2 * TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+_seeds = C.mix(np.arange(1, 2 * (TREES + MORE) * DEPTH + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -60,26 +66,36 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> t
     return grams, np.searchsorted(doc, np.arange(len(offsets)))
 
 
+def node_keys(grams: np.ndarray, bounds: np.ndarray, trees: range) -> np.ndarray:
+    """Node keys (docs, trees * 3) of each set."""
+    some = np.flatnonzero(np.diff(bounds))
+    first = bounds[:-1][some]
+    keys = np.zeros((len(bounds) - 1, len(trees) * (DEPTH - 1)), np.uint64)
+    if not len(some):
+        return keys
+    for k, t in enumerate(trees):
+        key = None
+        for d in range(DEPTH):
+            j = DEPTH * t + d
+            least = np.minimum.reduceat((grams ^ _seeds[2 * j]) * (_seeds[2 * j + 1] | np.uint64(1)), first)
+            key = C.mix(key ^ least) if d else C.mix(least + np.uint64(t + 1))
+            if d:
+                keys[some, k * (DEPTH - 1) + d - 1] = key
+    return keys
+
+
 def signatures(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Two hashes of each set, node keys (docs, trees * 3) and sketches (docs, slots)."""
+    """Two hashes of each set, node keys of the first trees and sketches (docs, slots)."""
     n = len(bounds) - 1
     size = np.diff(bounds)
     some = np.flatnonzero(size)
     first = bounds[:-1][some]
     sums = np.zeros((2, n), np.uint64)
-    keys = np.zeros((n, TREES * (DEPTH - 1)), np.uint64)
+    keys = node_keys(grams, bounds, range(TREES))
     sketch = np.full((n, SLOTS), EMPTY, np.uint8)
     if len(some):
         for k in range(2):
             sums[k, some] = np.add.reduceat(C.mix(grams ^ _seeds[k]), first)
-        least = np.empty((TREES * DEPTH, len(some)), np.uint64)
-        for j in range(TREES * DEPTH):
-            least[j] = np.minimum.reduceat((grams ^ _seeds[2 * j]) * (_seeds[2 * j + 1] | np.uint64(1)), first)
-        for t in range(TREES):
-            key = C.mix(least[DEPTH * t] + np.uint64(t + 1))
-            for d in range(1, DEPTH):
-                key = C.mix(key ^ least[DEPTH * t + d])
-                keys[some, t * (DEPTH - 1) + d - 1] = key
         g = C.mix(grams + _seeds[0])
         slot = np.repeat(np.arange(n), size) * SLOTS + (g >> np.uint64(57)).astype(np.int64)
         low = np.full(n * SLOTS, np.iinfo(np.uint64).max, np.uint64)
@@ -90,13 +106,27 @@ def signatures(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     return sums[0], sums[1], keys, sketch
 
 
+def _lists(keys: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.view(np.int64).ravel()))
+
+
+def _sign_more(batches):
+    """Node keys of the further trees."""
+    for batch in batches:
+        data, offsets = C.buffers(batch.column(1))
+        for a, b in C.doc_chunks(offsets):
+            grams, bounds = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            keys = node_keys(grams, bounds, range(TREES, TREES + MORE))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(keys)], names=["id", "keys"])
+
+
 def _sign(batches):
     for batch in batches:
         data, offsets = C.buffers(batch.column(1))
         for a, b in C.doc_chunks(offsets):
             grams, bounds = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             s1, s2, keys, sketch = signatures(grams, bounds)
-            columns = [batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.view(np.int64).ravel())), pa.array([x.tobytes() for x in sketch], pa.binary())]
+            columns = [batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), _lists(keys), pa.array([x.tobytes() for x in sketch], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "s1", "s2", "keys", "sketch"])
 
 
@@ -196,6 +226,23 @@ def _alike(batches):
             yield _stars(ids, _least_label(len(ids), np.concatenate(left), np.concatenate(right)))
 
 
+def _alike_asked(batches):
+    """Star edges between the queries and the members of a block whose sketches are similar."""
+    for table in whole_groups(batches, 3):
+        query, ids = table.column(5).to_numpy(zero_copy_only=False), table.column(3).to_numpy()
+        sketch = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint8).reshape(-1, SLOTS)
+        cuts = bounds_of(table, 3)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            asked, rest = a + np.flatnonzero(query[a:b]), a + np.flatnonzero(~query[a:b])
+            for i in asked.tolist():
+                used = (sketch[rest] != EMPTY) | (sketch[i] != EMPTY)
+                near = rest[((sketch[rest] == sketch[i]) & used).sum(1) >= SKETCH_MIN * used.sum(1)]
+                left.append(np.full(len(near), i))
+                right.append(near)
+        yield _stars(ids, _least_label(len(ids), np.concatenate(left), np.concatenate(right)))
+
+
 def _settle(batches):
     """Star edges between members of a block whose full sets are similar enough; where a
     block has queries, only pairs with a query are compared."""
@@ -236,10 +283,11 @@ def _links(grams: np.ndarray, bounds: np.ndarray, query: np.ndarray) -> tuple[np
     return np.concatenate(left), np.concatenate(right)
 
 
-def _candidates(reps: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect the classes of each candidate cluster."""
-    trees = reps.select("id", F.posexplode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree", "x"), "keys").select("id", "tree", F.expr(f"slice(keys, tree * {DEPTH - 1} + 1, {DEPTH - 1})").alias("path"))
-    leaves = None
+def _leaves(keyed: DataFrame, n_trees: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From rows (id, keys): rows (node, block, id) to compare, rows (node, members, id) of
+    the nodes that are too large at the end, and the ids of those too large at depth two."""
+    trees = keyed.select("id", F.posexplode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree", "x"), "keys").select("id", "tree", F.expr(f"slice(keys, tree * {DEPTH - 1} + 1, {DEPTH - 1})").alias("path"))
+    leaves = over = None
     for d in range(1, DEPTH):
         own = trees.select("id", "path", F.element_at("path", d).alias("node"))
         nodes = own.groupBy("node").agg(F.count("*").alias("members"), F.min("id").alias("pivot")).where("members > 1")
@@ -247,12 +295,39 @@ def _candidates(reps: DataFrame) -> DataFrame:
         if d < DEPTH - 1:
             part = own.where(F.col("members") <= LEAF).select("node", F.lit(0).cast("long").alias("block"), "id")
             trees = C.shared_table(own.where(F.col("members") > LEAF).select("id", "path"))
+            over = trees.select("id").distinct() if over is None else over
         else:  # members alike in four tokens: dealt over blocks that share the node's pivot
+            own = C.shared_table(own.select("node", "members", "pivot", "id"))
             dealt = own.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / LEAF)))
             part = dealt.select("node", "block", "id").union(dealt.select("node", "block", F.col("pivot").alias("id"))).distinct()
         leaves = part if leaves is None else leaves.union(part)
-    rows = leaves.join(reps.select("id", "sketch"), "id").select("node", "block", "id", "sketch")
-    return rows.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(_alike, "a long, b long").distinct()
+    return leaves, own.where(F.col("members") > LEAF).select("node", "members", "id"), over
+
+
+def _candidates(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the classes of each candidate cluster."""
+    leaves, large, over = _leaves(reps.select("id", "keys"), TREES)
+    keyed = C.shared_table(docs.join(C.shared_table(over).join(reps.select("id"), "id"), "id", "left_semi").mapInArrow(_sign_more, "id long, keys array<long>").distinct())
+    more, more_large, _ = _leaves(keyed, MORE)
+    sketches = reps.select("id", "sketch")
+    rows = leaves.union(more).join(sketches, "id").select("node", "block", "id", "sketch")
+    edges = C.shared_table(rows.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(_alike, "a long, b long").distinct())
+    large = C.shared_table(large.union(more_large))
+    if not large.limit(1).count():
+        return edges
+    # per large node: who is outside the cluster that most members are in is compared with all
+    found = C.components(edges, "a", "b").withColumnRenamed("node", "id")
+    named = large.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = named.groupBy("node", "component").agg(F.count("*").alias("n"))
+    main = parts.groupBy("node").agg(F.max(F.struct("n", F.col("component").alias("c"))).alias("m")).select("node", F.col("m.c").alias("main"))
+    asked = named.join(main, "node").where("component != main").select("node", "members", "id")
+    open_ = asked.groupBy("node").agg(F.ceil(F.count("*") / LEAF).alias("groups"))
+    blocks = F.ceil(F.col("members") / LEAF)
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    ask = asked.join(open_, "node").select("node", spread(blocks).alias("block"), F.pmod(F.xxhash64("id", F.lit(5)), "groups").alias("group"), "id", F.lit(True).alias("query"))
+    rest = large.join(open_, "node").select("node", F.pmod(F.xxhash64("id"), blocks).alias("block"), spread(F.col("groups")).alias("group"), "id", F.lit(False).alias("query"))
+    rows = ask.union(rest).join(sketches, "id").select("node", "block", "group", "id", "sketch", "query")
+    return edges.union(rows.repartition("node", "block", "group").sortWithinPartitions("node", "block", "group").mapInArrow(_alike_asked, "a long, b long")).distinct()
 
 
 def _compare(members: DataFrame, docs: DataFrame) -> DataFrame:
@@ -263,7 +338,7 @@ def _compare(members: DataFrame, docs: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Rows (node, component): components of the classes under exact links."""
-    clusters = C.components(_candidates(reps), "a", "b").withColumnRenamed("component", "cluster").withColumnRenamed("node", "id")
+    clusters = C.components(_candidates(docs, reps), "a", "b").withColumnRenamed("component", "cluster").withColumnRenamed("node", "id")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     dealt = clusters.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
     # the texts of candidates, from here on the only texts that move

@@ -383,6 +383,24 @@ def test_near_duplicates(spark, block, monkeypatch):
     assert {r["__id"]: (r["__n"], r["__component"]) for r in got} == brute_groups(rows)
 
 
+def test_a_shared_passage_hides_no_link(spark, monkeypatch):
+    """Pairs of similarity near 0.8 among documents that share a passage (similarity 0.45), so
+    that nodes are larger than a leaf down to the last depth."""
+    monkeypatch.setattr(neardup, "LEAF", 20)
+    rng = random.Random(12)
+    passage, rows, want = [f"p{k}" for k in range(125)], [], {}
+    for i in range(0, 1600, 2):
+        own = [f"o{i}x{k}" for k in range(75)]
+        rows.append((i, " ".join(passage + own)))
+        for k in rng.sample(range(75), 5):
+            own[k] = f"y{i}x{k}"
+        rows.append((i + 1, " ".join(passage + own)))
+        want |= {k: c for k, (_, c) in brute_groups(rows[-2:]).items()}
+    assert sum(c != i for i, c in want.items()) == 800
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["__id"]: r["__component"] for r in got} == want
+
+
 # 10
 
 
