@@ -48,7 +48,7 @@ def measures(docs: DataFrame, id: str = "doc_id", text: str = "text", stratum: s
     n_repeat_words).  Each array gets a column of its own, so nothing is evaluated twice."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id).alias("__id"), F.col(stratum).alias("__stratum"), t.alias("__t"))
-    rows = rows.withColumn("__w", F.array_remove(F.split("__t", r"[\x20\x09-\x0D]+"), "")).withColumn("__l", F.expr(r"filter(split(__t, '\n'), x -> length(translate(x, ' \t\u000B\f\r', '')) > 0)"))
+    rows = rows.withColumn("__w", F.array_remove(F.split("__t", r"[\x20\x09-\x0D]+"), "")).withColumn("__l", F.expr(r"filter(split(__t, '\n'), x -> length(translate(x, ' \t\u000B\u000C\r', '')) > 0)"))
     rows = rows.withColumn("__n", F.size("__w"))
     rows = rows.select(
         "__id", "__stratum", "__w", F.col("__n").cast("long").alias("n_words"),

@@ -341,6 +341,19 @@ def test_cutoffs_limit_false_rejection(spark):
     assert all(r.kept for r in few)  # too few labels certify nothing
 
 
+def test_page_breaks_against_sql(spark, docs, tmp_path):
+    page = "\n".join(("one line of words", "f", "\x0c", "two lines of words", "f f", "\x0c", " \x0c ", "f"))
+    texts = [page, "f\nf\nf", "\x0c\n\x0c\n\x0c", "word " * 60 + "\n\x0c\n\x0c\n\x0c\n\x0c"]
+    rows = spark.createDataFrame([(10**6 + i, t, "en", "a", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    sf = plant(tmp_path, spark, docs.select(*rows.columns).unionByName(rows))
+    own = llm.queries()["op8_quality"](spark, sf)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet/*.parquet')")
+    con.execute(f"CREATE VIEW labels AS SELECT * FROM read_parquet('{sf}/labels.parquet')")
+    want = con.execute(f"SELECT {', '.join(own.columns)} FROM ({llm.oracle_sql()['op8_quality']})").fetchall()
+    assert sorted(map(tuple, own.collect())) == sorted(want)
+
+
 # 9
 
 
