@@ -9,8 +9,9 @@ blank offers a word break.  Undisguised tokens have one path only and stay as th
 restored text is then scored: a logistic regression over the presence of words and stems whose
 share among documents labelled toxic is significantly high.
 
-The language model and the classifier learn from a bounded sample of labelled rows whose
-id is not held out (`TRAIN_DOCS`, lowest hash first); every text is scored whole.  Scores
+The language model counts the character trigrams (code points) of all documents, without
+labels.  The classifier learns from a bounded sample of labelled rows whose id is not held
+out (`TRAIN_DOCS`, lowest hash first); every text is scored whole.  Scores
 use the text only.
 
 Edge cases: null or empty text gets the classifier's bias (a low score); contradicting
@@ -258,34 +259,60 @@ def sample_rows(docs: DataFrame, labels: DataFrame, id: str, text: str, most: in
     return docs.select(F.col(id).alias("i"), F.col(text).alias("t")).join(F.broadcast(picked), F.col("i") == F.col("doc_id")).select("t", "y")
 
 
+_ASCII = 27  # a blank and a-z
+
+
+def _trigrams(batches):
+    """Rows (g, n): three code points of 21 bits each, and how often they follow another in
+    words, which have two blanks before them and one after."""
+    plain = np.zeros(_ASCII**3, np.int64)
+    for batch in batches:
+        data, offsets = C.buffers(batch.column(0))
+        for a, b in C.doc_chunks(offsets):
+            low, cuts = C.LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
+            if not len(low):
+                continue
+            points, before = code_points(low, cuts)
+            letter, _ = _classes(points)
+            edge = np.zeros(len(points) + 1, bool)
+            edge[before[cuts]] = True  # words end with their document
+            after = np.concatenate(([False], letter[:-1])) & ~edge[:-1]
+            s = np.flatnonzero(letter & ~after)
+            if not len(s):
+                continue
+            word = np.cumsum(letter & ~after)[letter]  # number of each letter's word, from 1
+            flat = np.full(len(word) + 3 * len(s), 0x20, np.int64)
+            flat[np.arange(len(word)) + 3 * word - 1] = points[letter]
+            x, y, z = flat[:-2], flat[1:-1], flat[2:]
+            ok = ~((y == 0x20) & (x != 0x20)) & ~((x == 0x20) & (y == 0x20) & (z == 0x20))
+            x, y, z = x[ok], y[ok], z[ok]
+            short = np.where(flat == 0x20, 0, np.where(flat < 0x7F, flat - 0x60, _ASCII))
+            i, j, k = short[:-2][ok], short[1:-1][ok], short[2:][ok]
+            own = (i < _ASCII) & (j < _ASCII) & (k < _ASCII)
+            plain += np.bincount((i[own] * _ASCII + j[own]) * _ASCII + k[own], minlength=len(plain))
+            values, n = np.unique((x[~own] << 42) | (y[~own] << 21) | z[~own], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["g", "n"])
+    at = np.flatnonzero(plain)
+    point = lambda v: np.where(v == 0, 0x20, v + 0x60)
+    values = (point(at // _ASCII**2) << 42) | (point(at // _ASCII % _ASCII) << 21) | point(at % _ASCII)
+    yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(plain[at])], names=["g", "n"])
+
+
+def char_counts(docs: DataFrame, text: str = "text") -> dict[str, int]:
+    """Counts of all character trigrams of all documents."""
+    rows = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(_trigrams, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    grams = rows.toArrow()
+    g, n = grams.column("g").to_pylist(), grams.column("n").to_pylist()
+    return {chr(v >> 42) + chr(v >> 21 & 0x1FFFFF) + chr(v & 0x1FFFFF): k for v, k in zip(g, n, strict=True)}
+
+
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", most: int = TRAIN_DOCS) -> tuple[dict[str, int], Classifier | None]:
     sample = C.shared_table(sample_rows(docs, labels, id, text, most))
-
-    def trigrams(batches):
-        for batch in batches:
-            data, offsets = C.buffers(batch.column(0))
-            for a, b in C.doc_chunks(offsets):
-                low, cuts = C.LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
-                s, e, _ = C.words(low, cuts, _LETTER)
-                if not len(s):
-                    continue
-                size = e - s + 3  # two blanks before a word, one after
-                flat = np.full(int(size.sum()), 0x20, np.uint8)
-                begin = np.cumsum(size) - size
-                inside = np.repeat(begin + 2 - s, e - s) + np.flatnonzero(_LETTER[low])
-                flat[inside] = low[_LETTER[low]]
-                code = (flat[:-2].astype(np.int64) << 16) | (flat[1:-1].astype(np.int64) << 8) | flat[2:]
-                ok = np.ones(len(code), bool)
-                ok[(begin[1:] - 1)] = False  # a gram across two words
-                ok[(begin[1:] - 2)] = False
-                values, n = np.unique(code[ok], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["g", "n"])
-
-    # at most 2**24 byte trigrams, in practice some ten thousand
-    grams = sample.mapInArrow(trigrams, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "g").limit(200_000).collect()
-    counts: dict[str, int] = {}
-    for r in grams:
-        counts[bytes((r.g >> 16, r.g >> 8 & 255, r.g & 255)).decode("latin-1")] = r.n
+    sizes = {int(r.y): r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n_bad, n_good = sizes.get(1, 0), sizes.get(0, 0)
+    if not n_bad or not n_good:
+        return {}, None
+    counts = char_counts(docs, text)
 
     def word_rows(batches):
         restorer = Restorer(counts)
@@ -297,10 +324,6 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
                 bad = np.bincount(inverse, y[a:b][o], len(values)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(bad), pa.array(np.bincount(inverse, minlength=len(values)) - bad)], names=["w", "bad", "good"])
 
-    sizes = {int(r.y): r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n_bad, n_good = sizes.get(1, 0), sizes.get(0, 0)
-    if not n_bad or not n_good:
-        return counts, None
     base = n_bad / (n_bad + n_good)
     seen = sample.mapInArrow(word_rows, "w long, bad long, good long").groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     lift = F.col("bad") * F.log((F.col("bad") + 0.0) / ((F.col("bad") + F.col("good")) * base))

@@ -315,6 +315,18 @@ def test_repeated_signs_and_wide_letters_are_decoded():
     assert got == {0: {"hoosebang", "stone"}, 1: {"assel"}, 2: {"grünling"}, 3: {"grünling"}, 5: {"are", "a", "snarkfang"}}
 
 
+def test_character_counts_of_all_documents(spark):
+    texts = ["Grün grün-stone x", "the\u00a0ßtone", None, "", "übel", "zzz9a", "日本"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    want = collections.Counter()
+    for t in texts:
+        for w in re.findall(r"[^\W\d_]+", (t or "").translate(UP)):
+            want.update(f"  {w} "[k : k + 3] for k in range(len(w) + 1))
+    assert toxicity.char_counts(docs) == want
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.train(docs, labels)[0] == want
+
+
 # 8
 
 
