@@ -14,15 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import GraphError
 from ..model import Graph
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Written to the folder that spark.checkpoint.dir names (a local one where unset)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        place = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(place or "file:///tmp/lattica-checkpoints")
-    return df.checkpoint(eager=True)
+from ..storage import cut
 
 
 def pregel(graph: Graph, start: DataFrame, message: Column, combine: Callable[[Column], Column], update: Callable[[Column, Column], Column], direction: str = "out", max_rounds: int = 100, edges: DataFrame | None = None) -> DataFrame:
