@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 #: Bytes of text that one chunk of documents holds (a longer document is its own chunk).
 CHUNK_BYTES = 2_000_000
 
@@ -138,14 +140,8 @@ def released_shuffles(spark: SparkSession) -> Iterator[None]:
 
 
 def shared_table(df: DataFrame) -> DataFrame:
-    """Cut lineage and keep the rows where every executor can read them again: a reliable
-    checkpoint in the folder that spark.checkpoint.dir names, or a local one in tests."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        place = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(place or "file:///tmp/lattica-checkpoints")
-    return df.checkpoint(eager=True)
+    """Cut lineage and keep the rows where every executor can read them again."""
+    return cut(df)
 
 
 def crc_third(doc_id: Column | str) -> Column:
@@ -154,7 +150,7 @@ def crc_third(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 3, F.lit(0))
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an undirected graph: (node, component), the smallest node
     reachable.  Every round takes the least label among neighbours and then the label of
     that label, so chains shrink geometrically; rounds end when nothing changes.  Only
@@ -162,7 +158,7 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v")
     links = shared_table(links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = shared_table(links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")))
-    for _ in range(rounds):
+    while True:
         near = links.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
         low = labels.join(near, "u").select("u", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("u").alias("low"), F.col("label").alias("far"))
@@ -170,10 +166,7 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         changed = step.where("new != label").limit(1).count()
         labels = step.select("u", F.col("new").alias("label"))
         if not changed:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
+            return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

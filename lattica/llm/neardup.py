@@ -1,6 +1,7 @@
 r"""Operator 9, MinHash near-dedup: a chosen-path set similarity join.
 
-A document's set is its distinct 4-word shingles (64-bit hashes).  Documents with equal
+A document's set is its distinct shingles of `words` words (64-bit hashes; 4 words unless told
+otherwise).  Documents with equal
 sets form one class, of which only the smallest id goes on.  `TREES` independent trees
 branch classes by minwise tokens: a node at depth two is the pair of tokens chosen there;
 nodes with more than `LEAF` members branch deeper, up to four tokens.  Two sets of
@@ -17,15 +18,23 @@ unless both are in one cluster already.
 
 Every candidate cluster is then settled exactly on the full sets.  A cluster of up to
 `BLOCK` classes is one block in which all sets are compared.  A larger one is dealt over
-blocks of that size; each block also gets a small random set of pivots, which connects
-the blocks.  What lies outside its cluster's largest component after that is compared
-with every block of the cluster, `QUERIES` at a time, until all are settled.  So no group
-of copies lands in one task, and no link within a cluster is lost.
+blocks of that size; each block also gets the same small random set of pivots, which
+connects what is cohesive.  Where a cluster is in several components after that, its links
+between components are searched by prefix filtering: the shingles of each set are put in
+one order (those that occur in one component only first, for they decide nothing, then by
+frequency), and two sets of similarity 0.8 share a shingle among the first ninth of the
+smaller and the first fifth of the larger one.  All sets that have such a shingle in their
+prefix form a node; shingles with the same members (by count and 128 bits of id hashes) form
+one.  A node's full sets are compared, block against block where it is larger than `BLOCK`.
+This finds every link of a cluster, whatever its size and shape, and its work follows the
+sets' common rare shingles, not the square of the cluster.
 
 Edge cases: null or empty text, or one without words, has an empty set and is linked with
 nothing; fewer than 4 words make one shingle; a row with a null id stands alone with a null
 component and is kept; rows that share an id share a component; ties need no rule (the
-smallest id represents); empty tables give empty results; only id and text are read.
+smallest id represents); empty tables give empty results; only id and text are read, so
+clashing extra columns do no harm.  Ids that are not integers are hashed to 64 bits inside,
+and the smallest id in its own order names the component.
 """
 
 from __future__ import annotations
@@ -33,6 +42,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +50,9 @@ from . import common as C
 
 WORDS = 4
 TREES, MORE, DEPTH = 12, 24, 4
-LEAF, BLOCK, PIVOTS, QUERIES = 200, 200, 32, 2000
+LEAF, BLOCK, PIVOTS = 200, 200, 32
+#: Parts over which the members of one cluster are spread when they meet the cluster's row.
+SALTS = 64
 SLOTS, EMPTY, SKETCH_MIN = 128, 255, 0.64
 PERCENT = 80
 
@@ -110,25 +122,46 @@ def _lists(keys: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.view(np.int64).ravel()))
 
 
-def _sign_more(batches):
-    """Node keys of the further trees."""
+def _sets(batches, words: int):
+    """(batch, first row, end, sets and their bounds) of each chunk of texts in the column `text`."""
     for batch in batches:
-        data, offsets = C.buffers(batch.column(1))
+        data, offsets = C.buffers(batch.column(batch.schema.get_field_index("text")))
         for a, b in C.doc_chunks(offsets):
-            grams, bounds = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            yield batch, a, b, *shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+
+
+def _sign_more(words: int):
+    """Node keys of the further trees."""
+
+    def run(batches):
+        for batch, a, b, grams, bounds in _sets(batches, words):
             keys = node_keys(grams, bounds, range(TREES, TREES + MORE))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(keys)], names=["id", "keys"])
 
+    return run
 
-def _sign(batches):
-    for batch in batches:
-        data, offsets = C.buffers(batch.column(1))
-        for a, b in C.doc_chunks(offsets):
-            grams, bounds = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+def _sign(words: int):
+    def run(batches):
+        for batch, a, b, grams, bounds in _sets(batches, words):
             s1, s2, keys, sketch = signatures(grams, bounds)
             columns = [batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), _lists(keys), pa.array([x.tobytes() for x in sketch], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "s1", "s2", "keys", "sketch"])
 
+    return run
+
+
+def _grams(words: int):
+    """Rows (cluster, component, id, n, gram): every shingle of every text."""
+
+    def run(batches):
+        for batch, a, b, grams, bounds in _sets(batches, words):
+            size = np.diff(bounds)
+            owner = pa.array(a + np.repeat(np.arange(b - a), size))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(owner) for k in range(3)), pa.array(np.repeat(size, size)), pa.array(grams.view(np.int64))], names=["cluster", "component", "id", "n", "gram"])
+
+    return run
+
 
 def whole_groups(batches, n_keys: int):
     """Tables of whole groups, from batches sorted by their first `n_keys` columns."""
@@ -243,23 +276,26 @@ def _alike_asked(batches):
         yield _stars(ids, _least_label(len(ids), np.concatenate(left), np.concatenate(right)))
 
 
-def _settle(batches):
-    """Star edges between members of a block whose full sets are similar enough; where a
-    block has queries, only pairs with a query are compared."""
-    for table in whole_groups(batches, 2):
-        ids, query = table.column(2).to_numpy(), table.column(4).to_numpy(zero_copy_only=False)
-        data, offsets = C.buffers(table.column(3))
-        cuts = bounds_of(table, 2)
-        left, right = [], []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            grams, bounds = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            i, j = _links(grams, bounds, query[a:b])
-            left.append(i + a)
-            right.append(j + a)
-        yield _stars(ids, _least_label(len(ids), np.concatenate(left), np.concatenate(right)))
+def _settle(words: int):
+    """Star edges between members of a block whose full sets are similar enough."""
+
+    def run(batches):
+        for table in whole_groups(batches, 2):
+            ids = table.column(2).to_numpy()
+            data, offsets = C.buffers(table.column(3))
+            cuts = bounds_of(table, 2)
+            left, right = [], []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                grams, bounds = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+                i, j = _links(grams, bounds)
+                left.append(i + a)
+                right.append(j + a)
+            yield _stars(ids, _least_label(len(ids), np.concatenate(left), np.concatenate(right)))
+
+    return run
 
 
-def _links(grams: np.ndarray, bounds: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _links(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = np.diff(bounds)
     if len(size) == 2:
         both = np.intersect1d(grams[: bounds[1]], grams[bounds[1] :], assume_unique=True).size
@@ -269,11 +305,8 @@ def _links(grams: np.ndarray, bounds: np.ndarray, query: np.ndarray) -> tuple[np
     flag = np.zeros(len(values), bool)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     some = np.flatnonzero(size)
-    asked = np.flatnonzero(query) if query.any() else some
-    for i in asked.tolist():
+    for i in some.tolist():
         own = number[bounds[i] : bounds[i + 1]]
-        if not len(own):
-            continue
         flag[own] = True
         both = np.add.reduceat(flag[number].astype(np.int32), bounds[:-1][some]).astype(np.int64)
         flag[own] = False
@@ -298,16 +331,16 @@ def _leaves(keyed: DataFrame, n_trees: int) -> tuple[DataFrame, DataFrame, DataF
             over = trees.select("id").distinct() if over is None else over
         else:  # members alike in four tokens: dealt over blocks that share the node's pivot
             own = C.shared_table(own.select("node", "members", "pivot", "id"))
-            dealt = own.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / LEAF)))
+            dealt = own.withColumn("block", F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("members") / LEAF)))
             part = dealt.select("node", "block", "id").union(dealt.select("node", "block", F.col("pivot").alias("id"))).distinct()
         leaves = part if leaves is None else leaves.union(part)
     return leaves, own.where(F.col("members") > LEAF).select("node", "members", "id"), over
 
 
-def _candidates(docs: DataFrame, reps: DataFrame) -> DataFrame:
+def _candidates(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     """Edges (a, b) that connect the classes of each candidate cluster."""
     leaves, large, over = _leaves(reps.select("id", "keys"), TREES)
-    keyed = C.shared_table(docs.join(C.shared_table(over).join(reps.select("id"), "id"), "id", "left_semi").mapInArrow(_sign_more, "id long, keys array<long>").distinct())
+    keyed = C.shared_table(docs.join(C.shared_table(over).join(reps.select("id"), "id"), "id", "left_semi").mapInArrow(_sign_more(words), "id long, keys array<long>").distinct())
     more, more_large, _ = _leaves(keyed, MORE)
     sketches = reps.select("id", "sketch")
     rows = leaves.union(more).join(sketches, "id").select("node", "block", "id", "sketch")
@@ -325,61 +358,90 @@ def _candidates(docs: DataFrame, reps: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("members") / LEAF)
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     ask = asked.join(open_, "node").select("node", spread(blocks).alias("block"), F.pmod(F.xxhash64("id", F.lit(5)), "groups").alias("group"), "id", F.lit(True).alias("query"))
-    rest = large.join(open_, "node").select("node", F.pmod(F.xxhash64("id"), blocks).alias("block"), spread(F.col("groups")).alias("group"), "id", F.lit(False).alias("query"))
+    rest = large.join(open_, "node").select("node", F.pmod(F.xxhash64("id", "node"), blocks).alias("block"), spread(F.col("groups")).alias("group"), "id", F.lit(False).alias("query"))
     rows = ask.union(rest).join(sketches, "id").select("node", "block", "group", "id", "sketch", "query")
     return edges.union(rows.repartition("node", "block", "group").sortWithinPartitions("node", "block", "group").mapInArrow(_alike_asked, "a long, b long")).distinct()
 
 
-def _compare(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Edges of rows (cluster, block, id, query) by the full sets of their texts."""
-    rows = members.join(docs, "id").select("cluster", "block", "id", "text", "query")
-    return rows.repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(_settle, "a long, b long").distinct()
-
-
-def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
+def _compare(members: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Edges of rows (node, block, id) by the full sets of their texts."""
+    rows = members.join(texts, "id").select("node", "block", "id", "text")
+    return rows.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(_settle(words), "a long, b long").distinct()
+
+
+def _salted(rows: DataFrame, clusters: DataFrame, how: str) -> DataFrame:
+    """Join members of clusters with the clusters' rows; one cluster fills SALTS tasks."""
+    salted = clusters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["cluster", "salt"], how).drop("salt")
+
+
+def _common_prefixes(members: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Rows (node, block, id) of the sets to compare, from rows (cluster, component, id): every
+    two sets of a cluster that are similar enough and in different components meet in a node."""
+    rows = members.join(texts, "id").select("cluster", "component", "id", "text")
+    grams = C.shared_table(rows.mapInArrow(_grams(words), "cluster long, component long, id long, n long, gram long"))
+    parts = grams.groupBy("cluster", "gram").agg(F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
+    useful = parts.where("low < high").select("cluster", "gram", "held")
+    known = grams.join(useful, ["cluster", "gram"], "left").select("id", "n", "gram", "cluster", "component", F.coalesce("held", F.lit(0)).alias("held"))
+    place = F.row_number().over(W.partitionBy("id").orderBy("held", "gram"))
+    # with sizes x <= y <= 1.25 x, common shingles are 4/9 (x + y) at least: 8/9 of x and 4/5 of y
+    first = known.withColumn("place", place).where("held > 0 AND place <= n - ceil(n * 0.8D - 1e-9D) + 1")
+    first = first.select("cluster", "gram", "component", "id", (F.col("place") <= F.expr("n - ceil(n * 8 / 9 - 1e-9D) + 1")).alias("short"))
+    first = C.shared_table(first)
+    # a node has two components and a set that may be the smaller one
+    sums = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(20,0)")).alias(f"h{k}") for k in (1, 2)]
+    nodes = first.groupBy("cluster", "gram").agg(F.count("*").alias("held"), F.max("short").alias("any"), F.min("component").alias("low"), F.max("component").alias("high"), *sums).where("low < high AND any")
+    nodes = nodes.groupBy("cluster", "held", "h1", "h2").agg(F.min("gram").alias("gram"))
+    dealt = first.join(nodes.select("cluster", "gram", "held"), ["cluster", "gram"]).select(F.xxhash64("cluster", "gram").alias("node"), F.ceil(F.col("held") / BLOCK).alias("blocks"), "id")
+    own = F.pmod(F.xxhash64("id", "node"), F.col("blocks"))
+    # block against block: a member of block k meets block j in the part (least, greatest)
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    return dealt.withColumn("own", own).withColumn("other", part).select("node", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("block"), "id")
+
+
+def links(docs: DataFrame, reps: DataFrame, words: int = WORDS) -> DataFrame:
     """Rows (node, component): components of the classes under exact links."""
-    clusters = C.components(_candidates(docs, reps), "a", "b").withColumnRenamed("component", "cluster").withColumnRenamed("node", "id")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    dealt = clusters.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    clusters = C.components(_candidates(docs, reps, words), "a", "b").withColumnRenamed("component", "cluster").withColumnRenamed("node", "id")
+    large = C.shared_table(clusters.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK))
     # the texts of candidates, from here on the only texts that move
     texts = C.shared_table(docs.join(clusters.select("id"), "id", "left_semi"))
+    dealt = _salted(clusters, large, "left").select("cluster", "id", "size", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).alias("blocks"))
     dealt = C.shared_table(dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))))
     chance = (F.xxhash64("id", F.lit(3)) / float(1 << 63) + 1) / 2
     pivots = dealt.where((F.col("blocks") > 1) & (chance < PIVOTS / F.col("size")))
-    everywhere = lambda rows: rows.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id")
-    first = dealt.select("cluster", "block", "id").union(everywhere(pivots)).distinct().withColumn("query", F.lit(False))
-    edges = C.shared_table(_compare(first, texts))
-    large = dealt.where("blocks > 1")
-    done = None
-    while True:
-        found = C.components(edges, "a", "b")
-        if done is None and not large.limit(1).count():
-            return found
-        named = large.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        parts = named.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-        main = parts.groupBy("cluster").agg(F.max(F.struct("n", F.col("component").alias("c"))).alias("m")).select("cluster", F.col("m.c").alias("main"))
-        left = named.join(main, "cluster").where("component != main").select("cluster", "id", "blocks")
-        left = left if done is None else left.join(done, "id", "left_anti")
-        open_ = left.groupBy("cluster").agg(F.count("*").alias("open"))
-        asked = C.shared_table(left.join(open_, "cluster").where(chance < QUERIES / F.col("open")).select("cluster", "id", "blocks"))
-        if not asked.limit(1).count():
-            return found
-        ask = everywhere(asked).withColumn("query", F.lit(True))
-        rest = large.join(asked.select("cluster").distinct(), "cluster", "left_semi").join(asked.select("id"), "id", "left_anti").select("cluster", "block", "id").withColumn("query", F.lit(False))
-        edges = C.shared_table(edges.union(_compare(ask.union(rest), texts)))
-        done = asked.select("id") if done is None else C.shared_table(done.union(asked.select("id")))
-
-
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    pivots = pivots.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id")
+    first = dealt.select("cluster", "block", "id").union(pivots).distinct().withColumnRenamed("cluster", "node")
+    edges = C.shared_table(_compare(first, texts, words))
+    found = C.components(edges, "a", "b")
+    if not large.limit(1).count():
+        return found
+    named = dealt.where("blocks > 1").join(found.withColumnRenamed("node", "id"), "id", "left").select("cluster", "id", F.coalesce("component", "id").alias("component"))
+    parted = named.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("cluster")
+    open_ = C.shared_table(_salted(named, parted, "left_semi"))
+    if not open_.limit(1).count():
+        return found
+    more = _compare(_common_prefixes(open_.select("cluster", "component", "id"), texts, words), texts, words)
+    return C.components(edges.union(more), "a", "b")
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """Rows (__id, __n, __component), one per document."""
-    own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    whole = isinstance(docs.schema[id].dataType, T.IntegralType)
+    key = F.col(id).cast("long") if whole else F.when(F.col(id).isNotNull(), F.xxhash64(F.col(id).cast("string")))
+    own = docs.select(key.alias("id"), F.col(text).cast("string").alias("text"), F.col(id).alias("name"))
     kind = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
-    signed = C.shared_table(own.mapInArrow(_sign, kind))
+    signed = C.shared_table(own.select("id", "text").mapInArrow(_sign(words), kind))
     classed = signed.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     reps = C.shared_table(classed)
-    found = links(own.where("id IS NOT NULL"), reps)
+    found = links(own.where("id IS NOT NULL").select("id", "text"), reps, words)
     named = reps.join(found.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("c"))
-    return signed.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left").select(F.col("id").alias("__id"), F.col("n").alias("__n"), F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("__component"))
+    rows = signed.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("c"))
+    if whole:
+        return rows.select(F.col("id").cast(docs.schema[id].dataType).alias("__id"), F.col("n").alias("__n"), F.col("c").cast(docs.schema[id].dataType).alias("__component"))
+    names = own.select("id", "name").where("id IS NOT NULL").distinct()
+    rows = rows.join(names, "id", "left")
+    least = rows.where("c IS NOT NULL").groupBy("c").agg(F.min("name").alias("least"))
+    return rows.join(least, "c", "left").select(F.col("name").alias("__id"), F.col("n").alias("__n"), F.col("least").alias("__component"))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

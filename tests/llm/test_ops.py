@@ -369,11 +369,11 @@ def test_page_breaks_against_sql(spark, docs, tmp_path):
 # 9
 
 
-def brute_groups(rows):
+def brute_groups(rows, words=4):
     sets, part = {}, {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(UP))
-        sets[i] = set(zip(*(w[k:] for k in range(4)))) if len(w) >= 4 else ({tuple(w)} if w else set())
+        sets[i] = set(zip(*(w[k:] for k in range(words)))) if len(w) >= words else ({tuple(w)} if w else set())
         part[i] = i
     ids = sorted(sets)
     for a, i in enumerate(ids):
@@ -399,15 +399,66 @@ def near_rows(n, seed=9):
 
 @pytest.mark.parametrize("block", [256, 24])
 def test_near_duplicates(spark, block, monkeypatch):
-    """Also with clusters much larger than a block, where pivots and queries decide."""
+    """Also with clusters much larger than a block, where pivots and prefixes decide."""
     monkeypatch.setattr(neardup, "BLOCK", block)
     monkeypatch.setattr(neardup, "PIVOTS", 4)
-    monkeypatch.setattr(neardup, "QUERIES", 16)
     rows = near_rows(160)
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["__id"]: (r["__n"], r["__component"]) for r in got} == brute_groups(rows)
 
 
+@pytest.mark.parametrize("sizes", [(35, 15), (45, 12)])
+def test_many_small_components_in_one_cluster(spark, monkeypatch, sizes):
+    """Pairs of similarity over 0.8 among documents that are all similar by about 0.7 and so
+    form one candidate cluster; the ids are texts, and other columns clash."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "PIVOTS", 2)
+    monkeypatch.setattr(neardup, "SALTS", 3)
+    own, swap = sizes
+    rows = []
+    for i in range(0, 60, 2):
+        w = [f"b{k}" for k in range(200 - own)] + [f"o{i}x{k}" for k in range(own)]
+        rows.append((f"d{i:03}", " ".join(w)))
+        rows.append((f"d{i + 1:03}", " ".join(w[:-swap] + [f"y{i}x{k}" for k in range(swap)])))
+    rows += [(None, rows[0][1]), ("d000", rows[0][1]), ("dx", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumns({c: F.lit(1) for c in ("cluster", "node", "block", "n", "gram", "id", "name")})
+    want = brute_groups([r for r in rows if r[0]])
+    assert {c for _, c in want.values()} == {f"d{i:03}" for i in range(0, 60, 2)} | {"dx"}
+    got = neardup.near_duplicates(docs).collect()
+    assert len(got) == len(rows) and {r["__id"]: (r["__n"], r["__component"]) for r in got if r["__id"]} == want
+    assert [r["__component"] for r in got if r["__id"] is None] == [None]
+
+
+def test_prefix_nodes_hold_every_link(spark, monkeypatch):
+    """Random sets in one cluster: all links between components meet in a node."""
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    rng = random.Random(21)
+    rows = []
+    for i in range(50):
+        w = [f"c{k}" for k in range(rng.randrange(40, 56))] + [f"{rng.choice('abc')}{k}" for k in range(8)]
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for i, t in rows}
+    linked = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    members = spark.createDataFrame([(1, i, i) for i in sets], "cluster long, component long, id long")
+    nodes = collections.defaultdict(set)
+    for r in neardup._common_prefixes(members, spark.createDataFrame(rows, "id long, text string"), 4).collect():
+        nodes[r.node, r.block].add(r.id)
+    met = {(i, j) for own in nodes.values() for i in own for j in own if i < j}
+    assert linked and linked <= met
+
+
+def test_near_duplicates_of_five_words(spark):
+    rows = near_rows(80, seed=4)
+    w = [f"v{k}" for k in range(200)]
+    far = list(w)
+    for k in range(5):  # similar by 0.82 on four words, by 0.77 on five
+        far[20 + 40 * k] = f"z{k}"
+    rows += [(500, " ".join(w)), (501, " ".join(far))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5).collect()
+    want = brute_groups(rows, 5)
+    assert {r["__id"]: (r["__n"], r["__component"]) for r in got} == want and want[501][1] == 501 and brute_groups(rows)[501][1] == 500
+
+
 def test_a_shared_passage_hides_no_link(spark, monkeypatch):
     """Pairs of similarity near 0.8 among documents that share a passage (similarity 0.45), so
     that nodes are larger than a leaf down to the last depth."""
