@@ -144,6 +144,14 @@ def shared_table(df: DataFrame) -> DataFrame:
     return cut(df)
 
 
+def fresh(columns: list[str]) -> str:
+    """A prefix with which the name of no column begins, in whatever case."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def crc_third(doc_id: Column | str) -> Column:
     """crc32 of the id as text, modulo 3; remainder 1 marks the held-out rows (a null id: 0)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix": mixing.SQL, "op8_quality": quality.SQL}
+    return {"op2_decontaminate": decontaminate.SQL, "op6_mix": mixing.SQL, "op8_quality": quality.SQL}

@@ -126,31 +126,69 @@ def test_loser_tree_equals_sorting():
 # 2
 
 
-def test_decontaminate(spark, docs):
-    items = spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text")
-    extra = spark.createDataFrame([("s", "To be"), ("z", ""), ("n", None), ("s", "of the")], "item_id string, text string")
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").union(extra)
-    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(UP))
-    windows = collections.defaultdict(set)
-    for r in items.collect():
-        w = words(r.text)
+def benchmark_words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(UP))
+
+
+def brute_hits(docs, items):
+    windows, texts = collections.defaultdict(set), collections.defaultdict(set)
+    for i, t in items:
+        w = benchmark_words(t)
+        texts[i or ""].add(tuple(w))
         for k in range(max(1, len(w) - 9) if w else 0):
-            windows[tuple(w[k : k + 10])].add(r.item_id)
-    lengths = {len(w) for w in windows}
-    want = {}
-    for r in docs.collect():
-        w, hit, ids = words(r.text), set(), set()
+            windows[tuple(w[k : k + 10])].add(i or "")
+    lengths, want = {len(w) for w in windows}, {}
+    for i, t in docs:
+        w, hit, ids, longest = benchmark_words(t), set(), set(), 0
         for k in range(len(w)):
             for n in lengths:
                 if k + n <= len(w) and tuple(w[k : k + n]) in windows:
                     hit.update(range(k, k + n))
                     ids |= windows[tuple(w[k : k + n])]
-        want[r.doc_id] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest())
-    for block in (decontaminate.BLOCK_BYTES, 2000):  # one block, and a chain of blocks
-        got = decontaminate.matched(docs.select("doc_id", "text"), items, block_bytes=block).collect()
-        assert {r.doc_id: (r["__n_words"], r["__n_hit"], r["__n_items"], r["__sha"]) for r in got} == want
-    assert any(x[1] for x in want.values())
-    assert decontaminate.decontaminate(docs, items).count() == sum(not x[1] for x in want.values())
+                    while n >= 10 and k + n < len(w) and any(tuple(w[k : k + n + 1]) == x[j : j + n + 1] for own in texts.values() for x in own for j in range(len(x) - n)):
+                        n += 1
+                    longest = max(longest, n)
+        want[i] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), longest)
+    return want
+
+
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 0])
+def test_decontaminate(spark, block):
+    """With a broadcast query set, and with the joined one; ties, repeated and odd items."""
+    rng = random.Random(6)
+    word = lambda: "w" + rng.choice("abcdefgh")
+    items = [(f"i{k}", " ".join(word() for _ in range(rng.randrange(1, 40)))) for k in range(30)] + [("s", "To be"), ("z", ""), ("n", None), ("s", "wa WA"), (None, "größe wb"), ("t1", "wa wa"), ("i3", "one more text of item three with more than ten words in it")]
+    items += [(f"e{k}", items[2][1]) for k in range(5)] + [(f"p{k}", items[0][1] + f" tail{k}") for k in range(5)]
+    docs = []
+    for i in range(60):
+        parts = [rng.choice([word(), word(), rng.choice(items)[1] or "", "to be", "Größe wb"]) for _ in range(rng.randrange(1, 8))]
+        docs.append((i, " ".join(parts)))
+    docs += [(60, None), (61, ""), (62, "!!"), (62, "!!"), (63, docs[4][1]), (63, docs[4][1]), (64, "wa " * 3000)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("__n_hit", "__id", "id", "key", "item")}).repartition(3)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = decontaminate.matched(table, bench, block_bytes=block, prefix="___").collect()
+    want = brute_hits(docs, items)
+    assert len(got) == len(docs) and {r.doc_id: (r["___n_words"], r["___n_hit"], r["___n_items"], r["___sha"], r["___longest"]) for r in got} == want
+    texts = collections.defaultdict(set)
+    for i, t in items:
+        texts[i or ""].add(tuple(benchmark_words(t)))
+    for r in got:  # the longest match stands where it is said to
+        n, w = r["___longest"], tuple(benchmark_words(r.text))
+        assert not n and r["___item"] is None or any(w[r["___at"] : r["___at"] + n] == x[r["___item_at"] : r["___item_at"] + n] for x in texts[r["___item"]])
+    clean = decontaminate.decontaminate(table, bench, block_bytes=block)
+    assert clean.columns == table.columns and sorted(r.doc_id for r in clean.collect()) == sorted(i for i, _ in docs if not want[i][1])
+    assert decontaminate.matched(table, bench.limit(0), block_bytes=block, prefix="___").where("___n_items > 0").count() == 0
+
+
+def test_equal_items_do_not_multiply_hits(spark):
+    items = spark.createDataFrame([(f"i{k}", "the") for k in range(5000)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "the " * 20000), (2, "nothing")], "doc_id long, text string")
+    digest = hashlib.sha256(",".join(sorted(f"i{k}" for k in range(5000))).encode()).hexdigest()
+    for block in (decontaminate.BLOCK_BYTES, 0):
+        got = {r.doc_id: (r["__n_hit"], r["__n_items"], r["__sha"]) for r in decontaminate.matched(docs, items, block_bytes=block).collect()}
+        assert got == {1: (20000, 5000, digest), 2: (0, 0, hashlib.sha256(b"").hexdigest())}
+    tests = decontaminate.TestSuffixes([("a", np.arange(3, dtype=np.uint64).tobytes())] * 9)
+    assert len(tests.matches(np.tile(np.arange(3, dtype=np.uint64), 4), np.array([0, 12]))[0]) == 4
 
 
 # 3
