@@ -177,5 +177,19 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
 
 
+def joined_components(found: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
+    """Components (node, component) after further edges: only edges between two of the
+    components found so far count, which are few or none."""
+    name = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    own = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).join(name("u"), "u", "left").join(name("v"), "v", "left")
+    between = shared_table(own.select(F.coalesce("u_in", "u").alias("u"), F.coalesce("v_in", "v").alias("v")).where("u != v").distinct())
+    if not between.limit(1).count():
+        return found
+    moved = components(between, "u", "v").select(F.col("node").alias("component"), F.col("component").alias("into"))
+    known = found.join(moved, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    alone = moved.select(F.col("component").alias("node"), F.col("into").alias("component")).join(found.select("node"), "node", "left_anti")
+    return shared_table(known.union(alone))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -25,8 +25,8 @@ one order (those that occur in one component only first, for they decide nothing
 frequency), and two sets of similarity 0.8 share a shingle among the first ninth of the
 smaller and the first fifth of the larger one.  All sets that have such a shingle in their
 prefix form a node; shingles with the same members (by count and 128 bits of id hashes) form
-one.  A node's full sets are compared, block against block where it is larger than `BLOCK`.
-This finds every link of a cluster, whatever its size and shape, and its work follows the
+one.  The full sets of a node's members in different components are compared, block against
+block where it is larger than `BLOCK`.  This finds every link of a cluster, whatever its size and shape, and its work follows the
 sets' common rare shingles, not the square of the cluster.
 
 Edge cases: null or empty text, or one without words, has an empty set and is linked with
@@ -277,17 +277,18 @@ def _alike_asked(batches):
 
 
 def _settle(words: int):
-    """Star edges between members of a block whose full sets are similar enough."""
+    """Star edges between members of a block whose full sets are similar enough; one of two
+    members that are compared is a query."""
 
     def run(batches):
-        for table in whole_groups(batches, 2):
-            ids = table.column(2).to_numpy()
-            data, offsets = C.buffers(table.column(3))
-            cuts = bounds_of(table, 2)
+        for table in whole_groups(batches, 3):
+            ids, query = table.column(3).to_numpy(), table.column(4).to_numpy(zero_copy_only=False)
+            data, offsets = C.buffers(table.column(5))
+            cuts = bounds_of(table, 3)
             left, right = [], []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 grams, bounds = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
-                i, j = _links(grams, bounds)
+                i, j = _links(grams, bounds, query[a:b])
                 left.append(i + a)
                 right.append(j + a)
             yield _stars(ids, _least_label(len(ids), np.concatenate(left), np.concatenate(right)))
@@ -295,7 +296,7 @@ def _settle(words: int):
     return run
 
 
-def _links(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _links(grams: np.ndarray, bounds: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = np.diff(bounds)
     if len(size) == 2:
         both = np.intersect1d(grams[: bounds[1]], grams[bounds[1] :], assume_unique=True).size
@@ -305,7 +306,7 @@ def _links(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     flag = np.zeros(len(values), bool)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     some = np.flatnonzero(size)
-    for i in some.tolist():
+    for i in np.flatnonzero(query & (size > 0)).tolist():
         own = number[bounds[i] : bounds[i + 1]]
         flag[own] = True
         both = np.add.reduceat(flag[number].astype(np.int32), bounds[:-1][some]).astype(np.int64)
@@ -338,35 +339,43 @@ def _leaves(keyed: DataFrame, n_trees: int) -> tuple[DataFrame, DataFrame, DataF
 
 
 def _candidates(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """Edges (a, b) that connect the classes of each candidate cluster."""
+    """Rows (node, component): the candidate cluster of each class that has a candidate."""
     leaves, large, over = _leaves(reps.select("id", "keys"), TREES)
     keyed = C.shared_table(docs.join(C.shared_table(over).join(reps.select("id"), "id"), "id", "left_semi").mapInArrow(_sign_more(words), "id long, keys array<long>").distinct())
     more, more_large, _ = _leaves(keyed, MORE)
     sketches = reps.select("id", "sketch")
     rows = leaves.union(more).join(sketches, "id").select("node", "block", "id", "sketch")
-    edges = C.shared_table(rows.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(_alike, "a long, b long").distinct())
-    large = C.shared_table(large.union(more_large))
-    if not large.limit(1).count():
-        return edges
-    # per large node: who is outside the cluster that most members are in is compared with all
-    found = C.components(edges, "a", "b").withColumnRenamed("node", "id")
-    named = large.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parts = named.groupBy("node", "component").agg(F.count("*").alias("n"))
-    main = parts.groupBy("node").agg(F.max(F.struct("n", F.col("component").alias("c"))).alias("m")).select("node", F.col("m.c").alias("main"))
-    asked = named.join(main, "node").where("component != main").select("node", "members", "id")
-    open_ = asked.groupBy("node").agg(F.ceil(F.count("*") / LEAF).alias("groups"))
-    blocks = F.ceil(F.col("members") / LEAF)
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    ask = asked.join(open_, "node").select("node", spread(blocks).alias("block"), F.pmod(F.xxhash64("id", F.lit(5)), "groups").alias("group"), "id", F.lit(True).alias("query"))
-    rest = large.join(open_, "node").select("node", F.pmod(F.xxhash64("id", "node"), blocks).alias("block"), spread(F.col("groups")).alias("group"), "id", F.lit(False).alias("query"))
-    rows = ask.union(rest).join(sketches, "id").select("node", "block", "group", "id", "sketch", "query")
-    return edges.union(rows.repartition("node", "block", "group").sortWithinPartitions("node", "block", "group").mapInArrow(_alike_asked, "a long, b long")).distinct()
-
-
-def _compare(members: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Edges of rows (node, block, id) by the full sets of their texts."""
-    rows = members.join(texts, "id").select("node", "block", "id", "text")
-    return rows.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(_settle(words), "a long, b long").distinct()
+    found = C.components(rows.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(_alike, "a long, b long"), "a", "b")
+    large = large.union(more_large).join(found.withColumnRenamed("node", "id"), "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
+    asked = _questions(large, LEAF)
+    if asked is None:
+        return found
+    rows = asked.join(sketches, "id").select("node", "block", "group", "id", "sketch", "query")
+    return C.joined_components(found, rows.repartition("node", "block", "group").sortWithinPartitions("node", "block", "group").mapInArrow(_alike_asked, "a long, b long"), "a", "b")
+
+
+def _questions(members: DataFrame, size: int) -> DataFrame | None:
+    """From the members (node, id, component) of nodes: rows (node, block, group, id, query), so
+    that every two members in different components meet.  Members outside the component that
+    most of their node is in are queries; groups of them meet all members, block by block."""
+    members = C.shared_table(members)
+    parts = C.shared_table(members.groupBy("node", "component").agg(F.count("*").alias("n")))
+    main = parts.groupBy("node").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all")).where("all > m.n")
+    apart = C.shared_table(parts.join(main.select("node", "all", F.col("m.component").alias("main")), "node").where("component != main").select("node", "component", "n", "all"))
+    if not apart.limit(1).count():
+        return None
+    open_ = C.shared_table(apart.groupBy("node").agg(F.ceil(F.sum("n") / size).alias("groups"), F.ceil(F.first("all") / size).alias("blocks")))
+    asked = members.join(apart.select("node", "component"), ["node", "component"], "left_semi").select("node", "id")
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = asked.join(open_, "node").select("node", spread("blocks").alias("block"), F.pmod(F.xxhash64("id", F.lit(5)), "groups").alias("group"), "id", F.lit(True).alias("query"))
+    rest = members.join(open_, "node").select("node", F.pmod(F.xxhash64("id", "node"), "blocks").alias("block"), spread("groups").alias("group"), "id", F.lit(False).alias("query"))
+    return asked.union(rest)
+
+
+def _compare(rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Edges of rows (node, block, group, id, query) by the full sets of their texts."""
+    rows = rows.join(texts, "id").select("node", "block", "group", "id", "query", "text")
+    return rows.repartition("node", "block", "group").sortWithinPartitions("node", "block", "group").mapInArrow(_settle(words), "a long, b long").distinct()
 
 
 def _salted(rows: DataFrame, clusters: DataFrame, how: str) -> DataFrame:
@@ -376,12 +385,12 @@ def _salted(rows: DataFrame, clusters: DataFrame, how: str) -> DataFrame:
 
 
 def _common_prefixes(members: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Rows (node, block, id) of the sets to compare, from rows (cluster, component, id): every
-    two sets of a cluster that are similar enough and in different components meet in a node."""
+    """Rows (node, id, component) from rows (cluster, component, id): every two sets of a cluster
+    that are similar enough and in different components meet in a node."""
     rows = members.join(texts, "id").select("cluster", "component", "id", "text")
     grams = C.shared_table(rows.mapInArrow(_grams(words), "cluster long, component long, id long, n long, gram long"))
     parts = grams.groupBy("cluster", "gram").agg(F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
-    useful = parts.where("low < high").select("cluster", "gram", "held")
+    useful = C.shared_table(parts.where("low < high").select("cluster", "gram", "held"))
     known = grams.join(useful, ["cluster", "gram"], "left").select("id", "n", "gram", "cluster", "component", F.coalesce("held", F.lit(0)).alias("held"))
     place = F.row_number().over(W.partitionBy("id").orderBy("held", "gram"))
     # with sizes x <= y <= 1.25 x, common shingles are 4/9 (x + y) at least: 8/9 of x and 4/5 of y
@@ -392,16 +401,12 @@ def _common_prefixes(members: DataFrame, texts: DataFrame, words: int) -> DataFr
     sums = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(20,0)")).alias(f"h{k}") for k in (1, 2)]
     nodes = first.groupBy("cluster", "gram").agg(F.count("*").alias("held"), F.max("short").alias("any"), F.min("component").alias("low"), F.max("component").alias("high"), *sums).where("low < high AND any")
     nodes = nodes.groupBy("cluster", "held", "h1", "h2").agg(F.min("gram").alias("gram"))
-    dealt = first.join(nodes.select("cluster", "gram", "held"), ["cluster", "gram"]).select(F.xxhash64("cluster", "gram").alias("node"), F.ceil(F.col("held") / BLOCK).alias("blocks"), "id")
-    own = F.pmod(F.xxhash64("id", "node"), F.col("blocks"))
-    # block against block: a member of block k meets block j in the part (least, greatest)
-    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    return dealt.withColumn("own", own).withColumn("other", part).select("node", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("block"), "id")
+    return first.join(C.shared_table(nodes.select("cluster", "gram")), ["cluster", "gram"]).select(F.xxhash64("cluster", "gram").alias("node"), "id", "component")
 
 
 def links(docs: DataFrame, reps: DataFrame, words: int = WORDS) -> DataFrame:
     """Rows (node, component): components of the classes under exact links."""
-    clusters = C.components(_candidates(docs, reps, words), "a", "b").withColumnRenamed("component", "cluster").withColumnRenamed("node", "id")
+    clusters = _candidates(docs, reps, words).withColumnsRenamed({"component": "cluster", "node": "id"})
     large = C.shared_table(clusters.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK))
     # the texts of candidates, from here on the only texts that move
     texts = C.shared_table(docs.join(clusters.select("id"), "id", "left_semi"))
@@ -410,9 +415,8 @@ def links(docs: DataFrame, reps: DataFrame, words: int = WORDS) -> DataFrame:
     chance = (F.xxhash64("id", F.lit(3)) / float(1 << 63) + 1) / 2
     pivots = dealt.where((F.col("blocks") > 1) & (chance < PIVOTS / F.col("size")))
     pivots = pivots.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id")
-    first = dealt.select("cluster", "block", "id").union(pivots).distinct().withColumnRenamed("cluster", "node")
-    edges = C.shared_table(_compare(first, texts, words))
-    found = C.components(edges, "a", "b")
+    first = dealt.select("cluster", "block", "id").union(pivots).distinct().select(F.col("cluster").alias("node"), "block", F.lit(0).alias("group"), "id", F.lit(True).alias("query"))
+    found = C.components(_compare(first, texts, words), "a", "b")
     if not large.limit(1).count():
         return found
     named = dealt.where("blocks > 1").join(found.withColumnRenamed("node", "id"), "id", "left").select("cluster", "id", F.coalesce("component", "id").alias("component"))
@@ -420,8 +424,8 @@ def links(docs: DataFrame, reps: DataFrame, words: int = WORDS) -> DataFrame:
     open_ = C.shared_table(_salted(named, parted, "left_semi"))
     if not open_.limit(1).count():
         return found
-    more = _compare(_common_prefixes(open_.select("cluster", "component", "id"), texts, words), texts, words)
-    return C.components(edges.union(more), "a", "b")
+    asked = _questions(_common_prefixes(open_.select("cluster", "component", "id"), texts, words), BLOCK)
+    return found if asked is None else C.joined_components(found, _compare(asked, texts, words), "a", "b")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -447,3 +451,17 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(C.table(spark, sf_dir, "documents"))
     return found.select(F.col("__id").alias("doc_id"), F.col("__n").alias("n_shingles"), F.col("__component").alias("component_id"), F.coalesce(F.col("__id") == F.col("__component"), F.lit(True)).alias("kept"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[p + 1 : p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 3))) AS p FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * o >= 80 * (x.n + y.n - o)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, seen) AS (SELECT doc_id, doc_id FROM documents WHERE doc_id IS NOT NULL UNION SELECT e.b, r.seen FROM r JOIN e ON r.node = e.a AND r.seen < e.b),
+k AS (SELECT node, min(seen) AS c FROM r GROUP BY node)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, k.c AS component_id, coalesce(w.doc_id = k.c, true) AS kept
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN k ON w.doc_id = k.node
+"""
