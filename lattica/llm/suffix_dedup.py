@@ -7,8 +7,8 @@ string alone, so equal strings have their anchors at the same offset and each an
 answers for one run of consecutive string starts.
 
 1. Map: a run of texts (`RUN_BYTES`) yields its anchors with the bytes to the right, as
-   far as its strings reach, and to the left.  Equal contexts inside the run are settled
-   at once: only the earliest moves on.  The rest is sorted by suffix and front-coded
+   far as its strings reach, and to the left.  Equal contexts inside the run (compared byte
+   by byte) are settled at once, as a combiner does: only the earliest moves on.  The rest is sorted by suffix and front-coded
    (length of the prefix shared with the predecessor, and the remaining bytes).
 2. Exchange: the sorted runs go to buckets by the hash of the anchor's piece.  Buckets
    grow in number with the corpus (`BUCKET_BYTES`), so that a task holds a bounded part.
@@ -249,7 +249,7 @@ def repeats(runs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray,
     if len(keep):
         whole = _row_hash(right[keep], left[keep], r[keep], n_left[keep])
         order = np.lexsort((pos[keep], key[keep, 1], key[keep, 0], whole))
-        again, twice = repeated(whole[order], key[keep[order]], pos[keep[order]])
+        again, twice = repeated(whole[order], keep[order], right, left, r, n_left, key, pos)
         gone = keep[order[again & ~twice]]
         found.append((key[gone], pos[gone] - n_left[gone], pos[gone] + r[gone]))
         keep = np.sort(keep[order[~again]])
@@ -296,12 +296,18 @@ def repeats(runs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def repeated(whole: np.ndarray, key: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For contexts sorted by content and place: whether one equals its predecessor, and
-    whether it is the very same place (a row that the table holds twice)."""
-    again, twice = np.zeros(len(whole), bool), np.zeros(len(whole), bool)
-    again[1:] = whole[1:] == whole[:-1]
-    twice[1:] = again[1:] & (key[1:] == key[:-1]).all(1) & (pos[1:] == pos[:-1])
+def repeated(whole: np.ndarray, at: np.ndarray, right: np.ndarray, left: np.ndarray, r: np.ndarray, n_left: np.ndarray, key: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For contexts `at`, sorted by hash and place: whether one equals its predecessor, and
+    whether it is the very same place (a row that the table holds twice).  Hashes only bring
+    candidates together; the bytes decide, and what they part goes on to the merge."""
+    again = np.zeros(len(at), bool)
+    maybe = np.flatnonzero(whole[1:] == whole[:-1]) + 1
+    for k in range(0, len(maybe), 1 << 15):
+        i = maybe[k : k + (1 << 15)]
+        a, b = at[i], at[i - 1]
+        again[i] = (r[a] == r[b]) & (n_left[a] == n_left[b]) & (right[a] == right[b]).all(1) & (left[a] == left[b]).all(1)
+    twice = again.copy()
+    twice[1:] &= (key[at[1:]] == key[at[:-1]]).all(1) & (pos[at[1:]] == pos[at[:-1]])
     return again, twice
 
 
@@ -380,18 +386,19 @@ def _runs(buckets: int, run_bytes: int, frequent):
             for own, split in ((np.flatnonzero(~many), False), (np.flatnonzero(many), True)):
                 if not len(own):
                     continue
-                x = right[own], left[own], r[own], n_left[own], piece[own]
+                x = (right, left, r, n_left, piece) if len(own) == len(piece) else (right[own], left[own], r[own], n_left[own], piece[own])
                 if split:
                     parts += [(own[rows], *rest) for rows, *rest in split_ranges(*x, buckets)]
                 else:
                     parts.append((own, *x[:4], (C.mix(x[4]) % np.uint64(buckets)).astype(np.int64)))
-            del right, left, r, n_left
+            del right, left, r, n_left, x
             out_bucket, out_blob, settled = [], [], []
-            for own, right, left, r, n_left, bucket in parts:
+            while parts:
+                own, right, left, r, n_left, bucket = parts.pop()
                 d, p = doc[own], pos[own]
                 whole = _row_hash(right, left, r, n_left)
                 order = np.lexsort((p, table[d, 1], table[d, 0], whole))
-                again, twice = repeated(whole[order], table[d[order]], p[order])
+                again, twice = repeated(whole[order], order, right, left, r, n_left, table[d], p)
                 gone, keep = order[again & ~twice], order[~again]
                 settled.append((table[d[gone]], p[gone] - n_left[gone], p[gone] + r[gone]))
                 by = np.argsort(right[keep].view(f"S{LENGTH}").ravel(), kind="stable")
@@ -498,3 +505,18 @@ def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", run_by
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup(C.table(spark, sf_dir, "documents"))
     return found.select(F.col("__id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("sha").alias("kept_sha256"))
+
+
+#: A byte is covered if a repeated string starts at it or at one of the 99 bytes before it.
+SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT r, unnest(range(1, octet_length(b) + 1)) AS p, b FROM d),
+g AS (SELECT r, p, hex(b[p : p]) AS x, CASE WHEN p + {LENGTH - 1} <= octet_length(b) THEN md5(b[p : p + {LENGTH - 1}]) END AS g FROM s),
+f AS (SELECT r, p, x, g IS NOT NULL AND row_number() OVER (PARTITION BY g ORDER BY r, p) > 1 AS again FROM g),
+c AS (SELECT r, p, x, coalesce(max(CASE WHEN again THEN p END) OVER (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING) > p - {LENGTH}, false) AS gone FROM f),
+o AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY p), false) AS new FROM c),
+k AS (SELECT r, count(*) AS n, count(*) FILTER (gone) AS gone, count(*) FILTER (new) AS spans, string_agg(x, '' ORDER BY p) FILTER (NOT gone) AS kept FROM o GROUP BY r)
+SELECT doc_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_bytes, CAST(coalesce(k.gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(k.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k ON d.r = k.r
+"""
