@@ -6,16 +6,22 @@ each round every sequence finds its lowest-rank adjacent pair, all sequences mer
 pair at once (from left to right where occurrences overlap), and the survivors close up;
 rounds end when no sequence has a known pair.  The symbols left are the tokens.
 
+Pre-tokens of more than `LONG` bytes (a megabyte of letters is one) would take a round over all
+their symbols for each rank.  They are merged with the same result from a queue of ranks: the
+lowest rank that occurs comes next, all its places are merged at once, and only the pairs
+beside them are looked up again.
+
 Counts of pre-tokens are kept per worker in a table of at most `CACHE` entries that is
 emptied when full, so memory is bounded and every text is counted whole.
 
 Edge cases: null or empty text: 0 bytes, 0 tokens; a special string inside a text (as the
-library does by default) counts as one token; very long pre-tokens are only long rows of
-the ragged array; only id and text are read, so other columns never clash.
+library does by default) counts as one token; repeated rows count alike; an empty table gives
+an empty result; only id and text are read, so other columns never clash.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 
 import numpy as np
@@ -31,6 +37,8 @@ LIMIT = 1024
 CACHE = 400_000
 #: Most symbols that are merged at once.
 ROUND_SYMBOLS = 1_000_000
+#: Bytes from which on a pre-token is merged from the queue of ranks.
+LONG = 256
 
 
 def byte_letters() -> list[str]:
@@ -95,6 +103,14 @@ class RankMerger:
         """Number of symbols that each piece is merged to."""
         result = np.zeros(len(pieces), np.int64)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        long = np.flatnonzero(sizes > LONG)
+        if len(long):
+            short = np.flatnonzero(sizes <= LONG)
+            result[short] = self.counts([pieces[k] for k in short.tolist()])
+            total = np.cumsum(sizes[long])
+            for own in np.split(long, np.flatnonzero(np.diff(total // ROUND_SYMBOLS)) + 1):
+                result[own] = self._merge_long(np.frombuffer(b"".join(pieces[k] for k in own.tolist()), np.uint8), sizes[own])
+            return result
         cuts = np.concatenate(([0], np.cumsum(sizes)))
         a = 0
         while a < len(pieces):
@@ -149,6 +165,57 @@ class RankMerger:
             total[seen] = n
         return total
 
+    def _merge_long(self, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        n, none = len(data), len(self.keys)
+        owner = np.append(np.repeat(np.arange(len(sizes)), sizes), -1)
+        symbol = np.append(self.byte_ids[data], -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)  # place n ends the list
+        after[n] = n
+        alive = np.ones(n + 1, bool)
+        alive[n] = False
+        rank, pair = np.full(n + 1, none), np.full(n + 1, -1)
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            """Ranks of the pairs that begin at these places, which go into the queue."""
+            at = at[owner[at] == owner[after[at]]]
+            found = self.find(symbol[at], symbol[after[at]])
+            at, found = at[found >= 0], found[found >= 0]
+            pair[at], rank[at] = found, self.ranks[found]
+            order = np.argsort(rank[at], kind="stable")
+            at = at[order]
+            r = rank[at]
+            cuts = np.flatnonzero(np.concatenate((np.ones(min(1, len(r)), bool), r[1:] != r[:-1])))
+            for k, own in zip(r[cuts].tolist(), np.split(at, cuts[1:]), strict=False):
+                if k not in waiting:
+                    waiting[k] = []
+                    heapq.heappush(queue, k)
+                waiting[k].append(own)
+
+        look(np.arange(n))
+        while queue:
+            r = heapq.heappop(queue)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[alive[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            run = np.concatenate(([True], after[at[:-1]] != at[1:]))  # overlapping hits: every second one
+            first = np.flatnonzero(run)
+            place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+            at = at[place % 2 == 0]
+            gone = after[at]
+            symbol[at] = self.made[pair[at]]
+            alive[gone] = False
+            rank[gone] = rank[at] = none
+            after[at] = after[gone]
+            before[after[at]] = at
+            left = before[at]
+            left = left[left >= 0]
+            rank[left] = none
+            look(np.unique(np.concatenate((left, at))))
+        return np.bincount(owner[:-1][alive[:-1]], minlength=len(sizes))
+
 
 def counter(path: str, pattern: str, cache: int = CACHE):
     """A function from a list of texts to their token counts."""
