@@ -10,9 +10,9 @@ rules and cutoffs).  The strictest certified cutoff holds; without one the rule
 nothing in that stratum.  So with probability 1 - DELTA no stratum loses more than ALPHA
 of its good documents to the rules.
 
-Repeated words are found inside the row: the 3-word windows are sorted with their
-positions, equal neighbours mark repeated windows, and sorted marked positions give the
-number of words covered, in n log n for any text.
+Repeated words are found inside the row: the 64-bit hashes of the 3-word windows are sorted
+with their positions, neighbours with equal hashes and equal words mark repeated windows,
+and sorted marked positions give the number of words covered, in n log n for any text.
 
 Edge cases: null or empty text has no words and fails the base rules; a null language is a
 stratum of its own; documents without label, or with contradicting labels (the lowest
@@ -41,8 +41,6 @@ RULES = {
 }
 
 
-
-
 def measures(docs: DataFrame, id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
     """Rows (__id, __stratum, n_words, word_chars, n_symbols, n_lines, n_dup_lines,
     n_repeat_words).  Each array gets a column of its own, so nothing is evaluated twice."""
@@ -58,9 +56,9 @@ def measures(docs: DataFrame, id: str = "doc_id", text: str = "text", stratum: s
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         "__n",
     )
-    grams = F.when(F.col("__n") >= 4, F.expr("sort_array(transform(sequence(0, __n - 3), i -> struct(concat_ws(' ', __w[i], __w[i + 1], __w[i + 2]) AS g, i AS i)))"))
-    rows = rows.withColumn("__g", grams).drop("__w")
-    rows = rows.withColumn("__m", F.expr("sort_array(filter(transform(__g, (x, k) -> if(x.g = get(__g, k - 1).g OR x.g = get(__g, k + 1).g, x.i, NULL)), i -> i IS NOT NULL))")).drop("__g", "__n")
+    rows = rows.withColumn("__g", F.when(F.col("__n") >= 4, F.expr("sort_array(transform(sequence(0, __n - 3), i -> struct(xxhash64(__w[i], __w[i + 1], __w[i + 2]) AS h, i AS i)))")))
+    same = "(x.h = get(__g, {k}).h AND __w[x.i] = __w[get(__g, {k}).i] AND __w[x.i + 1] = __w[get(__g, {k}).i + 1] AND __w[x.i + 2] = __w[get(__g, {k}).i + 2])"
+    rows = rows.withColumn("__m", F.expr(f"sort_array(filter(transform(__g, (x, k) -> if({same.format(k='k - 1')} OR {same.format(k='k + 1')}, x.i, NULL)), i -> i IS NOT NULL))")).drop("__g", "__n", "__w")
     covered = F.expr("aggregate(transform(__m, (x, k) -> least(3, coalesce(get(__m, k + 1) - x, 3))), 0L, (a, x) -> a + x)")
     return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("__m")
 
@@ -76,13 +74,14 @@ def log_gamma(x: str) -> str:
     return f"(({y} - 0.5) * ln({y}) - {y} + 0.9189385332046727 + 1 / (12 * {y}) - 1 / (360 * pow({y}, 3)) + 1 / (1260 * pow({y}, 5)) - ({shift}))"
 
 
-def binomial_tail(n: str, k: str, p: float, terms: int = 20_000) -> Column:
-    """P(Bin(n, p) <= k) for k < n * p (else 1, which certifies nothing): terms are added
-    from k downwards; beyond `terms` of them a geometric bound stands for the rest."""
+def binomial_tail(n: str, k: str, p: float) -> Column:
+    """P(Bin(n, p) <= k) for k < n * p (else 1, which certifies nothing): terms are added from
+    k downwards.  The term j below k is at most exp(-j * (j - 1) / (2 * n * p)) times that at k,
+    so what lies more than 10 * sqrt(n * p) + 10 below changes no bit of the sum."""
     n, k = f"CAST({n} AS DOUBLE)", f"CAST({k} AS DOUBLE)"
     top = f"exp({log_gamma(f'({n} + 1)')} - {log_gamma(f'({k} + 1)')} - {log_gamma(f'({n} - {k} + 1)')} + {k} * ln({p}D) + ({n} - {k}) * ln(1 - {p}D))"
     step = f"named_struct('t', a.t * ({k} - j + 1) * (1 - {p}D) / (({n} - {k} + j) * {p}D), 's', a.s + a.t)"
-    total = f"aggregate(sequence(1, CAST(least({k} + 1, {terms}) AS INT)), named_struct('t', {top}, 's', 0D), (a, j) -> {step}, a -> a.s + IF({k} >= {terms}, a.t / (1 - ({k} * (1 - {p}D)) / (({n} - {k} + 1) * {p}D)), 0D))"
+    total = f"aggregate(sequence(1, CAST(least({k} + 1, 10 * sqrt({n} * {p}D) + 10) AS INT)), named_struct('t', {top}, 's', 0D), (a, j) -> {step}, a -> a.s)"
     return F.expr(f"CASE WHEN {k} >= {n} * {p}D THEN 1D ELSE least(1D, {total}) END")
 
 
