@@ -5,7 +5,8 @@ distribution, and a document's probabilities are the mean over its positions.  I
 trained in numpy by backpropagation through time on a bounded sample of labelled rows
 (`TRAIN_DOCS` documents of at most `TRAIN_DOC_BYTES` bytes, lowest hash first); every
 byte of every document is then labelled.  Texts are laid out in rows of `STEPS` bytes, so
-thousands of rows advance together and one step is one small matrix product.
+thousands of rows advance together and one step is one small matrix product; the recurrent
+state starts anew in each row, whatever the length of the text.
 
 Edge cases: a null or empty text, or one without any letter, is `und` with score 0; rows
 with a null language never train; repeated rows simply count; ties go to the language
@@ -31,7 +32,7 @@ TRAIN_STEPS = 64
 TRAIN_ROWS = 192
 TRAIN_ROUNDS = 260
 #: Bytes laid out at once when documents are labelled.
-LAYOUT_BYTES = 300_000
+LAYOUT_BYTES = 2344 * STEPS
 
 
 def _soft(x: np.ndarray) -> np.ndarray:
@@ -203,8 +204,8 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
     return tagger
 
 
-def predict(docs: DataFrame, tagger: ByteTagger | None, text: str = "text") -> DataFrame:
-    """`docs` with __lang and __score."""
+def predict(docs: DataFrame, tagger: ByteTagger | None, text: str = "text", prefix: str = "__") -> DataFrame:
+    """`docs` with lang and score after `prefix`, which begins the name of no input column."""
 
     def run(batches):
         for batch in batches:
@@ -216,17 +217,17 @@ def predict(docs: DataFrame, tagger: ByteTagger | None, text: str = "text") -> D
                 if tagger is None:
                     known[:] = False
                     p = np.zeros((b - a, 1))
-                elif len(own) <= 8 * LAYOUT_BYTES:
+                elif len(own) <= LAYOUT_BYTES:
                     p = tagger.pooled(own, cuts)
-                else:  # one very long text, piece by piece
+                else:  # one very long text by pieces of whole rows, which changes no row
                     pieces = np.append(np.arange(0, len(own), LAYOUT_BYTES), len(own))
                     p = (tagger.pooled(own, pieces) * np.diff(pieces)[:, None]).sum(0, keepdims=True) / len(own)
                 best = p.argmax(1)
                 lang += [tagger.labels[k] if ok else "und" for k, ok in zip(best.tolist(), known.tolist(), strict=True)]
                 score += np.where(known, np.clip(p.max(1), 0, 1), 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "__lang", "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, f"{prefix}lang", f"{prefix}score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(f"{prefix}lang", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType())]))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
