@@ -11,7 +11,8 @@ share among documents labelled toxic is significantly high.
 
 The language model counts the character trigrams (code points) of all documents, without
 labels.  The classifier learns from a bounded sample of labelled rows whose id is not held
-out (`TRAIN_DOCS`, lowest hash first); every text is scored whole.  Scores
+out (`TRAIN_DOCS` ids, lowest hash first, with one text of at most `TRAIN_DOC_BYTES` bytes
+each); every text is scored whole.  Scores
 use the text only.
 
 Edge cases: null or empty text gets the classifier's bias (a low score); contradicting
@@ -33,10 +34,13 @@ from pyspark.sql import types as T
 from . import common as C
 
 THRESHOLD = 0.7
-TRAIN_DOCS = 20_000
-#: Most words that the classifier knows; fewest toxic documents that a word needs.
+#: Most documents, and most bytes of each, that the classifier learns from.
+TRAIN_DOCS, TRAIN_DOC_BYTES = 20_000, 20_000
+#: Most words that the classifier knows, and what a word needs to be one: fewest toxic
+#: documents, and log-likelihood by which its share among them exceeds that of all (a
+#: chance of about e**-12 for any one word).
 FEATURES = 2000
-MIN_TOXIC_DOCS = 4
+MIN_TOXIC_DOCS, LEAST_LIFT = 4, 12
 #: Bytes of the word beginnings that are scored beside whole words.
 STEMS = (4, 5, 6, 7)
 #: Letters that a sign may stand for.
@@ -252,11 +256,13 @@ class Classifier:
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, id: str, text: str, most: int) -> DataFrame:
-    """(text, label) of at most `most` labelled rows that are not held out."""
+    """(text, label) of at most `most` labelled ids that are not held out: one text for each id,
+    of at most `TRAIN_DOC_BYTES` bytes."""
     marks = labels.where((C.crc_third("doc_id") != 1) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     picked = marks.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most)
     # `most` ids of 12 bytes: a proven bound
-    return docs.select(F.col(id).alias("i"), F.col(text).alias("t")).join(F.broadcast(picked), F.col("i") == F.col("doc_id")).select("t", "y")
+    texts = docs.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t")).where(F.octet_length("t") <= TRAIN_DOC_BYTES)
+    return texts.join(F.broadcast(picked), F.col("i") == F.col("doc_id")).groupBy("i").agg(F.min("t").alias("t"), F.first("y").alias("y")).select("t", "y")
 
 
 _ASCII = 27  # a blank and a-z
@@ -327,7 +333,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     base = n_bad / (n_bad + n_good)
     seen = sample.mapInArrow(word_rows, "w long, bad long, good long").groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     lift = F.col("bad") * F.log((F.col("bad") + 0.0) / ((F.col("bad") + F.col("good")) * base))
-    kept = seen.where((F.col("bad") >= MIN_TOXIC_DOCS) & (F.col("bad") > F.col("good"))).withColumn("g", lift).where("g > 12").orderBy(F.desc("g"), "w").limit(FEATURES).select("w").collect()
+    kept = seen.where((F.col("bad") >= MIN_TOXIC_DOCS) & (F.col("bad") > F.col("good"))).withColumn("g", lift).where(F.col("g") > LEAST_LIFT).orderBy(F.desc("g"), "w").limit(FEATURES).select("w").collect()
     words = np.sort(np.array([r.w for r in kept], np.int64).view(np.uint64))
     probe = Classifier(words, np.zeros(len(words)), 0.0)
 
