@@ -25,4 +25,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.SQL, "op6_mix": mixing.SQL, "op8_quality": quality.SQL}
+    found = {"op1_suffix_dedup": suffix_dedup, "op2_decontaminate": decontaminate, "op5_shards": shards, "op6_mix": mixing, "op8_quality": quality, "op9_near_duplicates": neardup}
+    return {name: module.SQL for name, module in found.items()}

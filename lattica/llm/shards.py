@@ -47,11 +47,16 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: CRC-32 of a text's UTF-8 bytes in DuckDB, with the table of the reflected polynomial.
+_CODES = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+_TABLE = "list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
 SQL = f"""
-WITH s AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, text FROM documents),
-r AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS run, sum(size) OVER () AS total FROM s),
+WITH t AS (SELECT {_TABLE} AS crc),
+s AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size,
+       CAST(xor(list_reduce(list_prepend(4294967295::BIGINT, {_CODES}), lambda c, b: xor(c >> 8, crc[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295) AS BIGINT) AS text_crc32 FROM documents, t),
+r AS (SELECT *, sum(size) OVER o AS run, sum(size) OVER () AS total FROM s WINDOW o AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)),
 h AS (SELECT *, CAST(least((2 * run - size) * {SHARDS} // (2 * total), {SHARDS - 1}) AS INTEGER) AS shard FROM r)
-SELECT doc_id, size, {{crc}} AS text_crc32, 'bytes' AS law, shard,
-       CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM h
 """

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -90,6 +91,25 @@ def test_suffix_dedup(spark, run_bytes, hot_rows):
     assert {r["__id"]: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in found} == brute_repeats(rows)
 
 
+def test_equal_hashes_of_unequal_contexts(spark, monkeypatch):
+    """Bytes decide: with hashes that all collide the result stays the same."""
+    monkeypatch.setattr(suffix_dedup, "_row_hash", lambda *parts, salt=0: np.zeros(len(parts[0]), np.uint64))
+    rng = random.Random(13)
+    rows = [(i, "".join(rng.choice("ab") for _ in range(240))) for i in range(12)]
+    rows += [(20, rows[3][1]), (21, "c" + rows[4][1][20:200] + "c"), (22, "d" * 130 + rows[4][1])]
+    keyed = [(i, t, 0) for i, t in rows]
+    table = pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in keyed]), pa.array([0] * len(keyed)), pa.array([t for _, t, _ in keyed])], names=["id", "th", "text"])
+    class Nothing:
+        value = np.zeros(0, np.uint64)
+    for size in (500, 10**8):
+        runs = pa.Table.from_batches(suffix_dedup._runs(1, size, Nothing)([table])).combine_chunks().to_batches()
+        gone = collections.defaultdict(set)
+        for out in suffix_dedup._merge(runs):
+            for i, _, s, e in zip(*(c.to_pylist() for c in out.columns)):
+                gone[i] |= set(range(s, e))
+        assert {i: len(gone[i]) for i, _ in rows} == {i: x[1] for i, x in brute_repeats(rows).items()}
+
+
 def test_rows_twice_are_one_document(spark):
     text = " ".join(f"word{k * 7 % 101}" for k in range(80))
     rows = [(1, text), (1, text), (2, text), (2, text), (3, "x" + text)]
@@ -204,6 +224,31 @@ def test_token_counts(docs):
     assert tokens.counter(path, public_tokenizers.PATTERN, cache=50)(texts) == want
 
 
+@pytest.mark.parametrize("long", [1, 20])
+def test_long_pre_tokens_are_merged_alike(docs, monkeypatch, long):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "LONG", long)
+    monkeypatch.setattr(tokens, "ROUND_SYMBOLS", 3000)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdeé ") for _ in range(3000)), "a" * 5001, "ab" * 700 + "a" * 333, *(r.text for r in docs.select("text").limit(40).collect())]
+    want = [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert tokens.counter(path, public_tokenizers.PATTERN)(texts) == want
+
+
+def test_a_megabyte_of_letters():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), "a" * 300_000]
+    want = [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert tokens.counter(path, public_tokenizers.PATTERN)(texts) == want
+
+
 # 4
 
 
@@ -308,6 +353,58 @@ def test_deobfuscation_and_scores(spark):
     assert [got[1000 + k] >= 0.7 for k in range(7)] == [True] * 4 + [False] * 3
 
 
+def test_decoder_equals_all_readings():
+    """The lattice's best path against the best of all readings of short tokens."""
+    counts = collections.Counter()
+    for w in ("stale", "bile", "ales", "gait", "till"):
+        counts.update({g: 30 for g in word_counts(w)})
+    model = toxicity.CharModel(counts)
+
+    def score(text, costs):
+        total, a, b = costs, " ", " "
+        for c in text + " ":
+            total, a, b = total + model.log(a, b, c), b, c
+        return total
+
+    def readings(token):
+        out = [("", 0.0, "")]  # letters, cost, sign before
+        for c in token:
+            more = []
+            offers = [(x, toxicity.LEET_COST) for x in toxicity.STANDS_FOR.get(c, "")] + [(c, toxicity.KEEP_COST if c in toxicity.STANDS_FOR else 0.0)]
+            for text, cost, before in out:
+                more += [(text + x, cost + k, c) for x, k in offers]
+                if c == before and text and any(x == text[-1] for x, _ in offers):
+                    more.append((text, cost + toxicity.DROP_COST, c))
+            out = more
+        return [(t, k) for t, k, _ in out]
+
+    rng = random.Random(7)
+    for _ in range(60):
+        token = "".join(rng.choice("s5$ta4@li1!e3gb8t7") * rng.choice([1, 1, 1, 2]) for _ in range(rng.randrange(1, 6)))
+        best = max(score(t, k) for t, k in readings(token))
+        got = toxicity.decode(token, model)
+        assert max(score(t, k) for t, k in readings(token) if t == got) == pytest.approx(best)
+
+
+def test_scores_equal_a_plain_sum(spark):
+    """The logistic score of words and stems, word by word."""
+    words = ["snarkfang", "stone", "snar"]
+    h = lambda w: common.span_hash(common.prefix_hash(common.BYTE_VALUE[np.frombuffer(w.encode(), np.uint8)]), np.array([0]), np.array([len(w.encode())]))[0]
+    model = toxicity.Classifier(np.array([h("snarkfang"), h("stone"), ~h("snar")], np.uint64), np.array([2.0, 0.5, 1.0]), -1.5)
+    texts = ["a snarkfang", "snarky Stone stone", "", None, "nothing", "sn4rkf@ng"]
+    want = [-1.5 + z for z in (3.0, 1.5, 0.0, 0.0, 0.0, 3.0)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r["__score"] for r in toxicity.scored(docs, word_counts("snarkfang", "stone"), model).collect()}
+    assert words and all(abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-9 for i, z in enumerate(want))
+
+
+def test_training_sample_is_bounded(spark):
+    rows = [(1, "a"), (1, "b"), (1, "b"), (2, "x" * (toxicity.TRAIN_DOC_BYTES + 1)), (3, None), *((k, "t") for k in range(4, 40))]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    got = toxicity.sample_rows(spark.createDataFrame(rows, "doc_id long, text string"), labels, "doc_id", "text", 10).collect()
+    assert len(got) <= 10 and all(len(r.t) <= toxicity.TRAIN_DOC_BYTES for r in got)
+
+
 def test_long_tokens_are_decoded_whole():
     counts = collections.Counter()
     for w in ("  snarkfang ", "  table ", "  letter "):
@@ -369,15 +466,24 @@ def test_character_counts_of_all_documents(spark):
 
 
 def brute_tail(n, k, p):
-    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+    term = total = Fraction(1)
+    for i in range(k):  # relative to the term at 0
+        term *= Fraction(n - i, i + 1) * p / (1 - p)
+        term = Fraction(round(term * 10**60), 10**60) if n > 10_000 else term
+        total += term
+    return math.exp(math.log(total.numerator) - math.log(total.denominator) + n * math.log1p(-float(p)))
 
 
 def test_binomial_tail(spark):
-    cases = [(50, 0), (300, 1), (500, 2), (2000, 10), (900, 11), (10, 5), (4000, 20)]
+    cases = [(50, 0), (300, 1), (500, 2), (2000, 10), (900, 11), (10, 5), (4000, 20), (80_000, 999), (80_000, 5)]
     df = spark.createDataFrame(cases, "n long, k long").select("n", "k", quality.binomial_tail("n", "k", 0.0125).alias("p"))
     for r in df.collect():
-        want = 1.0 if r.k >= r.n * 0.0125 else brute_tail(r.n, r.k, 0.0125)
+        want = 1.0 if r.k >= r.n * 0.0125 else brute_tail(r.n, r.k, Fraction(1, 80))
         assert abs(r.p - want) < 1e-9
+    many = spark.sql("SELECT 4000000L AS n, 49500L AS k UNION ALL SELECT 400000000L, 4999000L").select("n", "k", quality.binomial_tail("n", "k", 0.0125).alias("p")).collect()
+    for r in many:  # tens of thousands and millions of false rejections: near the normal law
+        z = (r.k + 0.5 - r.n * 0.0125) / math.sqrt(r.n * 0.0125 * 0.9875)
+        assert abs(r.p - math.erfc(-z / math.sqrt(2)) / 2) < 3e-3
 
 
 def test_cutoffs_limit_false_rejection(spark):
@@ -478,11 +584,14 @@ def test_prefix_nodes_hold_every_link(spark, monkeypatch):
     sets = {i: {tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for i, t in rows}
     linked = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
     members = spark.createDataFrame([(1, i, i) for i in sets], "cluster long, component long, id long")
-    nodes = collections.defaultdict(set)
-    for r in neardup._common_prefixes(members, spark.createDataFrame(rows, "id long, text string"), 4).collect():
-        nodes[r.node, r.block].add(r.id)
-    met = {(i, j) for own in nodes.values() for i in own for j in own if i < j}
-    assert linked and linked <= met
+    nodes = neardup._common_prefixes(members, spark.createDataFrame(rows, "id long, text string"), 4)
+    met = set()
+    for part in (["node"], ["node", "block", "group"]):  # the members of nodes, then as they are dealt
+        groups = collections.defaultdict(set)
+        for r in (nodes if part == ["node"] else neardup._questions(nodes, 5)).collect():
+            groups[tuple(r[c] for c in part)].add((r.id, part == ["node"] or r.query))
+        met = {tuple(sorted((i, j))) for own in groups.values() for i, asks in own if asks for j, _ in own if i != j}
+        assert linked and linked <= met
 
 
 def test_near_duplicates_of_five_words(spark):
@@ -546,6 +655,42 @@ def test_backpropagation_equals_differences():
             assert abs((up - down) / (2 * eps) - g[at]) < 0.02
 
 
+def test_pooled_probabilities_equal_a_plain_loop():
+    """Byte by byte, straight from the definition; a long text is cut into pieces of whole rows."""
+    tagger = langid.ByteTagger(["de", "en", "fr"], seed=3)
+    squash = lambda v: v / (1 + abs(v))
+
+    def states(layer, x):
+        h, out, k = np.zeros(layer.h), [], layer.h
+        for c in x:
+            e, u = layer.embed[:, c].astype(float), layer.recur.astype(float) @ h
+            z, r = (squash(e[:k] + u[:k]) + 1) / 2, (squash(e[k : 2 * k] + u[k : 2 * k]) + 1) / 2
+            h = z * h + (1 - z) * squash(e[2 * k :] + r * u[2 * k :])
+            out.append(h)
+        return out
+
+    texts = ["a", "größe und mehr " * 20, "", "x" * 128, "y" * 129]
+    data, offsets = common.buffers(pa.array(texts))
+    got = tagger.pooled(data, offsets)
+    for i, t in enumerate(texts):
+        total = np.zeros(3)
+        for a in range(0, len(t.encode()), langid.STEPS):
+            x = t.encode()[a : a + langid.STEPS]
+            for f, b in zip(states(tagger.ahead, x), states(tagger.back, x[::-1])[::-1]):
+                z = np.concatenate((f, b)) @ tagger.w + tagger.b
+                total += np.exp(z) / np.exp(z).sum()
+        assert np.abs(got[i] - total / max(1, len(t.encode()))).max() < 1e-5
+
+
+def test_a_long_text_scores_as_its_rows(spark, monkeypatch):
+    tagger = langid.ByteTagger(["de", "en"], seed=9)
+    table = spark.createDataFrame([(0, "le temps des cerises und so weiter " * 900), (1, "kurz")], "doc_id long, text string")
+    whole = {r.doc_id: r["__score"] for r in langid.predict(table, tagger).collect()}
+    monkeypatch.setattr(langid, "LAYOUT_BYTES", 4 * langid.STEPS)
+    cut = {r.doc_id: r["__score"] for r in langid.predict(table, tagger).collect()}
+    assert all(abs(whole[k] - cut[k]) < 1e-6 for k in whole) and langid.LAYOUT_BYTES % langid.STEPS == 0
+
+
 def test_undetermined_languages(odd):
     got = {r.doc_id: r["__lang"] for r in langid.predict(odd, langid.ByteTagger(["de", "en"])).collect()}
     assert [got[k] for k in (0, 1, 5, 9)] == ["und"] * 4 and got[2] != "und"
