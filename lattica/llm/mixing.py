@@ -15,8 +15,9 @@ spread over many tasks.
 
 Edge cases: null or empty text has size 0 and takes 0 words; a null source is a source of
 its own; a source without words has target 0; repeated ids draw the same key and are told
-apart by size (equal rows are interchangeable); an empty table gives an empty result; all
-columns are renamed inside, so extra columns never clash.
+apart by size (equal rows are interchangeable); null ids draw by their text; an empty table
+gives an empty result; all columns are renamed inside, so extra columns never clash.
+The water level is found over one row a source, in one task: sources are names, not rows.
 """
 
 from __future__ import annotations
@@ -38,10 +39,14 @@ QUALITY = {1: 2.0, 0: 0.5, None: 1.0}
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def unit(id: Column, seed: str = SEED) -> Column:
-    """A number in (0, 1) that only seed and id decide."""
-    text = F.coalesce(id.cast("string"), F.lit("null"))
-    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), text).cast("binary")), 1, 12)
+def lot(id: Column, text: Column) -> Column:
+    """What a document draws by: its id, or its text if it has none."""
+    return F.coalesce(id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+
+
+def unit(lot: Column, seed: str = SEED) -> Column:
+    """A number in (0, 1) that only seed and lot decide."""
+    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), lot).cast("binary")), 1, 12)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
@@ -65,8 +70,8 @@ def word_count(text: Column) -> Column:
 
 
 def sized(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Rows (__id, __source, __size); texts are left behind."""
-    return docs.select(F.col(id).alias("__id"), F.col(source).alias("__source"), word_count(F.col(text)).alias("__size"))
+    """Rows (__id, __source, __size, __lot); texts are left behind."""
+    return docs.select(F.col(id).alias("__id"), F.col(source).alias("__source"), word_count(F.col(text)).alias("__size"), lot(F.col(id), F.col(text)).alias("__lot"))
 
 
 def quality(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -75,13 +80,13 @@ def quality(rows: DataFrame, labels: DataFrame) -> DataFrame:
     weight = F.lit(QUALITY[None])
     for k in (0, 1):
         weight = F.when(F.col("__label") == k, F.lit(QUALITY[k])).otherwise(weight)
-    return rows.join(own, F.col("__id") == F.col("__l"), "left").select("__id", "__source", "__size", weight.alias("__quality"))
+    return rows.join(own, F.col("__id") == F.col("__l"), "left").select("__id", "__source", "__size", "__lot", weight.alias("__quality"))
 
 
 def mix(rows: DataFrame, seed: str = SEED) -> DataFrame:
-    """Rows (__id, __source, __size, __quality) -> (__id, __source, __size, __words, __target,
-    __taken), one per document."""
-    sized = C.shared_table(rows.withColumn("__key", -F.log(unit(F.col("__id"), seed)) / F.col("__quality")))
+    """Rows (__id, __source, __size, __lot, __quality) -> (__id, __source, __size, __lot, __words,
+    __target, __taken), one per document."""
+    sized = C.shared_table(rows.withColumn("__key", -F.log(unit(F.col("__lot"), seed)) / F.col("__quality")))
     sources = sized.groupBy("__source").agg(F.sum("__size").alias("__words"), F.count("*").alias("__rows"))
     per_source = targets(sources).select("__source", "__words", "__target", F.greatest(F.lit(1), F.ceil(F.col("__rows") / F.greatest(F.lit(float(BUCKET_ROWS)), F.sqrt(F.col("__rows").cast("double"))))).alias("__buckets"), F.when(F.col("__words") > 0, F.floor(F.col("__target") / F.col("__words"))).otherwise(0).alias("__epochs"))
     per_source = C.shared_table(per_source.withColumn("__rest", F.floor(F.col("__target") - F.col("__epochs") * F.col("__words"))))
@@ -94,7 +99,7 @@ def mix(rows: DataFrame, seed: str = SEED) -> DataFrame:
     run = dealt.withColumn("__run", F.sum("__size").over(inner))
     placed = run.join(bases, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
     extra = F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__rest") - (F.col("__base") + F.col("__run") - F.col("__size"))))
-    return placed.select("__id", "__source", "__size", "__words", "__target", (F.col("__epochs") * F.col("__size") + extra).cast("long").alias("__taken"))
+    return placed.select("__id", "__source", "__size", "__lot", "__words", "__target", (F.col("__epochs") * F.col("__size") + extra).cast("long").alias("__taken"))
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +110,7 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH l AS (SELECT doc_id AS l_id, max(quality) AS q FROM labels GROUP BY doc_id),
 d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-        -ln((CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)
+        -ln((CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)
           / CASE q WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END AS k
       FROM documents LEFT JOIN l ON doc_id = l_id),
 s AS (SELECT source, sum(size) AS words FROM d GROUP BY source),

@@ -313,7 +313,7 @@ def test_against_sql(spark, name):
 
 
 def test_mix_budgets(spark, odd):
-    rows = spark.createDataFrame([(i, "abcdefg"[i % 7] if i % 3 else "a", 1 + i * 7 % 40, 1.0) for i in range(3000)], "__id long, __source string, __size long, __quality double")
+    rows = spark.createDataFrame([(i, "abcdefg"[i % 7] if i % 3 else "a", 1 + i * 7 % 40, str(i), 1.0) for i in range(3000)], "__id long, __source string, __size long, __lot string, __quality double")
     got = mixing.mix(rows).collect()
     taken, target, size = collections.Counter(), {}, collections.Counter()
     for r in got:

@@ -39,7 +39,15 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     rows = near_rows(60)
     table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
     got = sorted(r.doc_id for r in P.near_dedup(spark, table, DATA).collect())
-    assert got == sorted(i for i, (_, c) in brute_groups(rows).items() if c == i)
+    assert got == sorted(i for i, (_, c) in brute_groups(rows, 5).items() if c == i)
+
+
+def test_near_dedup_of_repeated_rows(spark):
+    text, other = " ".join(f"w{k}" for k in range(50)), " ".join(f"o{k}" for k in range(50))
+    rows = [(1, text), (1, text), (2, text), (3, other), (3, other), (4, "x y"), (4, "z"), (None, text), (None, text)]
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    got = collections.Counter((r.doc_id, r.text) for r in P.near_dedup(spark, table, DATA).collect())
+    assert got == {(1, text): 1, (3, other): 1, (4, "x y"): 1, (4, "z"): 1, (None, text): 2}
 
 
 def test_decontamination_removes_exactly_the_hit(spark, docs):
@@ -61,6 +69,26 @@ def test_mixing_repeats_as_often_as_taken(spark, docs):
     assert got == collections.Counter({r["__id"]: -(-r["__taken"] // r["__size"]) for r in rows if r["__taken"] > 0})
 
 
+def test_mixing_of_repeated_rows(spark):
+    rows = [(i % 40 if i % 3 else None, " ".join(["w"] * (1 + i % 4)), "en", "ab"[i % 2], 1) for i in range(160)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    got = collections.Counter((r.doc_id, r.text, r.source) for r in P.mix(spark, table, DATA).collect())
+    mixed = mixing.mix(mixing.quality(mixing.sized(table), common.table(spark, DATA, "labels"))).collect()
+    want = collections.Counter()
+    for r in mixed:
+        want[r["__id"], " ".join(["w"] * r["__size"]), r["__source"]] += -(-r["__taken"] // r["__size"])
+    assert got == want
+
+
+def test_clashing_columns_are_carried(spark, docs):
+    names = ("__lang", "__score", "__n_words", "__n_hit", "__id", "__k", "__s", "__gone", "__copy", "id", "gone", "n", "size", "shard")
+    table = docs.limit(60).withColumns({c: F.lit(c) for c in names})
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, table, DATA)
+        assert out.columns == table.columns and all(r[c] == c for r in out.limit(5).collect() for c in names)
+    assert P.shard(spark, table, DATA).count() == 60
+
+
 def test_odd_rows_and_whole_run(spark, docs, tmp_path):
     odd = spark.createDataFrame(ODD, SCHEMA)
     for table in (odd, odd.limit(0)):
