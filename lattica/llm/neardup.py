@@ -239,6 +239,8 @@ def _least_label(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _stars(ids: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    """Edges from the first place of each component to its other places.  Rows come sorted by
+    id, so that nodes with the same members make the same edges."""
     at = np.flatnonzero(label != np.arange(len(label)))
     return pa.RecordBatch.from_arrays([pa.array(ids[label[at]]), pa.array(ids[at])], names=["a", "b"])
 
@@ -332,7 +334,7 @@ def _leaves(keyed: DataFrame, n_trees: int) -> tuple[DataFrame, DataFrame, DataF
             over = trees.select("id").distinct() if over is None else over
         else:  # members alike in four tokens: dealt over blocks that share the node's pivot
             own = C.shared_table(own.select("node", "members", "pivot", "id"))
-            dealt = own.withColumn("block", F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("members") / LEAF)))
+            dealt = own.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / LEAF)))
             part = dealt.select("node", "block", "id").union(dealt.select("node", "block", F.col("pivot").alias("id"))).distinct()
         leaves = part if leaves is None else leaves.union(part)
     return leaves, own.where(F.col("members") > LEAF).select("node", "members", "id"), over
@@ -345,13 +347,13 @@ def _candidates(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     more, more_large, _ = _leaves(keyed, MORE)
     sketches = reps.select("id", "sketch")
     rows = leaves.union(more).join(sketches, "id").select("node", "block", "id", "sketch")
-    found = C.components(rows.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(_alike, "a long, b long"), "a", "b")
+    found = C.components(rows.repartition("node", "block").sortWithinPartitions("node", "block", "id").mapInArrow(_alike, "a long, b long"), "a", "b")
     large = large.union(more_large).join(found.withColumnRenamed("node", "id"), "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
     asked = _questions(large, LEAF)
     if asked is None:
         return found
     rows = asked.join(sketches, "id").select("node", "block", "group", "id", "sketch", "query")
-    return C.joined_components(found, rows.repartition("node", "block", "group").sortWithinPartitions("node", "block", "group").mapInArrow(_alike_asked, "a long, b long"), "a", "b")
+    return C.joined_components(found, rows.repartition("node", "block", "group").sortWithinPartitions("node", "block", "group", "id").mapInArrow(_alike_asked, "a long, b long"), "a", "b")
 
 
 def _questions(members: DataFrame, size: int) -> DataFrame | None:
@@ -368,14 +370,14 @@ def _questions(members: DataFrame, size: int) -> DataFrame | None:
     asked = members.join(apart.select("node", "component"), ["node", "component"], "left_semi").select("node", "id")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asked = asked.join(open_, "node").select("node", spread("blocks").alias("block"), F.pmod(F.xxhash64("id", F.lit(5)), "groups").alias("group"), "id", F.lit(True).alias("query"))
-    rest = members.join(open_, "node").select("node", F.pmod(F.xxhash64("id", "node"), "blocks").alias("block"), spread("groups").alias("group"), "id", F.lit(False).alias("query"))
+    rest = members.join(open_, "node").select("node", F.pmod(F.xxhash64("id"), "blocks").alias("block"), spread("groups").alias("group"), "id", F.lit(False).alias("query"))
     return asked.union(rest)
 
 
 def _compare(rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """Edges of rows (node, block, group, id, query) by the full sets of their texts."""
     rows = rows.join(texts, "id").select("node", "block", "group", "id", "query", "text")
-    return rows.repartition("node", "block", "group").sortWithinPartitions("node", "block", "group").mapInArrow(_settle(words), "a long, b long").distinct()
+    return rows.repartition("node", "block", "group").sortWithinPartitions("node", "block", "group", "id").mapInArrow(_settle(words), "a long, b long").distinct()
 
 
 def _salted(rows: DataFrame, clusters: DataFrame, how: str) -> DataFrame:
@@ -437,7 +439,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     signed = C.shared_table(own.select("id", "text").mapInArrow(_sign(words), kind))
     classed = signed.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     reps = C.shared_table(classed)
-    found = links(own.where("id IS NOT NULL").select("id", "text"), reps, words)
+    with C.released_shuffles(docs.sparkSession):  # every step in there is written before the next one
+        found = links(own.where("id IS NOT NULL").select("id", "text"), reps, words)
     named = reps.join(found.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("c"))
     rows = signed.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("c"))
     if whole:
