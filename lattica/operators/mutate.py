@@ -81,8 +81,24 @@ def remove_edges(graph: Graph, ids: DataFrame) -> Graph:
     return graph.with_(edges=graph.edges.join(ids.select("id").distinct(), "id", "left_anti"))
 
 
-def set_property(graph: Graph, kind: str, key: str, updates: DataFrame, remove_nulls: bool = True) -> Graph:
-    """`updates(id, value)`: sets the key of these elements; a null value removes it."""
+def _one_each(batch: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """One row of each key: the last by the column `order`, which is left out of the result.
+    Without an order, rows of one key must be equal; others fail when the batch is read."""
+    rest = [c for c in batch.columns if c not in keys and c != order]
+    rows = batch.select(*keys, F.struct(*rest).alias("__row"), *([F.col(order).alias("__order")] if order else []))
+    if order:
+        one = F.max_by("__row", "__order")
+    else:
+        same = F.min(F.xxhash64("__row")) == F.max(F.xxhash64("__row"))
+        one = F.when(same, F.first("__row")).otherwise(F.raise_error(F.lit("a key of the batch has different rows, and no order")))
+    return rows.groupBy(*keys).agg(one.alias("__row")).select(*keys, *(F.col("__row").getField(c).alias(c) for c in rest))
+
+
+def set_property(graph: Graph, kind: str, key: str, updates: DataFrame, remove_nulls: bool = True, order: str | None = None) -> Graph:
+    """`updates(id, value)`: sets the key of these elements; a null value removes it.  An id
+    may come more than once with one value, or with several and a column `order`, whose last
+    value holds."""
+    updates = _one_each(updates.select("id", "value", *([order] if order else [])), ["id"], order)
     table = graph.vertices if kind == "vertex" else graph.edges
     if graph.catalog.use_schema:
         touched = table.join(updates.select("id"), "id", "left_semi").select("label").distinct().collect()
@@ -117,45 +133,66 @@ def remove_property(graph: Graph, kind: str, key: str, ids: DataFrame) -> Graph:
 
 def increment(graph: Graph, kind: str, key: str, deltas: DataFrame) -> Graph:
     """Counters: deltas(id, value) are summed per element first, so hot counters shrink
-    before the join."""
+    before the join.  The labels of all elements that are met must declare the counter."""
     if not graph.catalog.use_schema:
         raise NoSchema("counters need a schema")
     table = graph.vertices if kind == "vertex" else graph.edges
     total = deltas.groupBy(F.col("id").alias("__id")).agg(F.sum("value").cast("long").alias("__delta"))
-    old = F.col(key) if key in table.columns else F.lit(None).cast("long")
-    new = F.when(F.col("__id").isNotNull(), F.coalesce(old, F.lit(0)) + F.col("__delta")).otherwise(old)
-    out = table.join(total, F.col("id") == F.col("__id"), "left").withColumn(key, new).drop("__id", "__delta")
+    for r in table.join(total, F.col("id") == F.col("__id"), "left_semi").select("label").distinct().collect():
+        if graph.catalog.label(kind, r.label).properties.get(key) != COUNTER:
+            raise NotValid(f"{r.label}.{key} is no counter")
+    old = F.col(f"`{key}`") if key in table.columns else F.lit(None).cast("long")
+    hit = F.col("__id").isNotNull()
+    out = table.join(total, F.col("id") == F.col("__id"), "left").withColumn(key, F.when(hit, F.coalesce(old, F.lit(0)) + F.col("__delta")).otherwise(old))
+    if "updated_at" in table.columns:
+        out = out.withColumn("updated_at", F.when(hit, F.current_timestamp()).otherwise(F.col("updated_at")))
+    out = out.drop("__id", "__delta")
     return graph.with_(vertices=out) if kind == "vertex" else graph.with_(edges=out)
 
 
-def merge_vertices(graph: Graph, batch: DataFrame, on: list[str], on_match: dict[str, Column] | None = None) -> Graph:
-    """Upsert: rows of `batch` that match a vertex on `on` update it, the others are added."""
-    columns = graph.vertices.columns
-    keyed = batch.select(*(F.col(c).alias(f"__{c}") for c in batch.columns))
-    match = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on]
-    cond = match[0]
-    for m in match[1:]:
-        cond = cond & m
-    hit = graph.vertices.join(keyed.withColumn("__hit", F.lit(True)), cond, "left")
-    setters = on_match or {c: F.col(f"__{c}") for c in batch.columns if c not in (*on, "id")}
-    for c, v in setters.items():
-        hit = hit.withColumn(c, F.when(F.col("__hit"), v).otherwise(F.col(c) if c in columns else F.lit(None)))
-    kept = hit.drop(*(f"__{c}" for c in batch.columns), "__hit")
-    new = batch.join(graph.vertices.select(*on).distinct(), on, "left_anti")
-    return add_vertices(graph.with_(vertices=kept), new.select(batch.columns), check=False)
-
-
-def merge_edges(graph: Graph, batch: DataFrame) -> Graph:
-    """Upsert of edges by (label, src, dst)."""
+def _merged(table: DataFrame, batch: DataFrame, on: list[str], setters: dict[str, Column]) -> DataFrame:
+    """`table` with the setters (over __<column> of the batch) applied where a row matches."""
+    keyed = batch.select(*(F.col(c).alias(f"__{c}") for c in batch.columns), F.lit(True).alias("__hit"))
+    match = F.lit(True)
+    for c in on:
+        match = match & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    hit = table.join(keyed, match, "left")
+    if "updated_at" in table.columns:
+        setters = setters | {"updated_at": F.current_timestamp()}
+    new = {c: F.when(F.col("__hit"), v).otherwise(F.col(f"`{c}`") if c in table.columns else F.lit(None)) for c, v in setters.items()}
+    return hit.withColumns(new).select(*table.columns, *(c for c in setters if c not in table.columns))
+
+
+def _unmatched(batch: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    there = table.select(*(F.col(c).alias(f"__{c}") for c in on)).distinct()
+    match = F.lit(True)
+    for c in on:
+        match = match & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return batch.join(there, match, "left_anti")
+
+
+def merge_vertices(graph: Graph, batch: DataFrame, on: list[str], on_match: dict[str, Column] | None = None, order: str | None = None) -> Graph:
+    """Upsert: rows of `batch` that match a vertex on `on` update it, the others are added.  Of
+    rows with one key the last by the column `order` holds; without it they must be equal."""
+    batch = _one_each(batch, on, order)
+    setters = {c: F.col(f"__{c}") for c in batch.columns if c not in (*on, "id")} if on_match is None else on_match
+    kept = _merged(graph.vertices, batch, on, setters)
+    return add_vertices(graph.with_(vertices=kept), _unmatched(batch, graph.vertices, on), check=False)
+
+
+def merge_edges(graph: Graph, batch: DataFrame, order: str | None = None) -> Graph:
+    """Upsert of edges by (label, src, dst); repeated keys as in merge_vertices."""
     on = ["label", "src", "dst"]
-    rest = [c for c in batch.columns if c not in (*on, "id")]
-    new = batch.join(graph.edges.select(*on).distinct(), on, "left_anti").select(batch.columns)
-    keyed = batch.select(*on, *(F.col(c).alias(f"__{c}") for c in rest), F.lit(True).alias("__hit"))
-    hit = graph.edges.join(keyed, on, "left")
-    for c in rest:
-        hit = hit.withColumn(c, F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c) if c in graph.edges.columns else F.lit(None)))
-    kept = hit.drop(*(f"__{c}" for c in rest), "__hit")
-    return add_edges(graph.with_(edges=kept), new, check=False)
+    batch = _one_each(batch, on, order)
+    kept = _merged(graph.edges, batch, on, {c: F.col(f"__{c}") for c in batch.columns if c not in (*on, "id")})
+    return add_edges(graph.with_(edges=kept), _unmatched(batch, graph.edges, on), check=False)
+
+
+def create_absent(graph: Graph, batch: DataFrame, order: str | None = None) -> tuple[Graph, DataFrame]:
+    """The graph with the vertices of `batch` whose ids are new, and the rows that were not."""
+    batch = _one_each(batch, ["id"], order)
+    ids = graph.vertices.select("id")
+    return add_vertices(graph, batch.join(ids, "id", "left_anti"), check=False), batch.join(ids, "id", "left_semi")
 
 
 def clear(graph: Graph) -> Graph:

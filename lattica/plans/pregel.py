@@ -8,6 +8,7 @@ checkpoint, so a lost executor costs a stage and not the run."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,16 +18,17 @@ from ..model import Graph
 from ..storage import cut
 
 
-def pregel(graph: Graph, start: DataFrame, message: Column, combine: Callable[[Column], Column], update: Callable[[Column, Column], Column], direction: str = "out", max_rounds: int = 100, edges: DataFrame | None = None) -> DataFrame:
+def pregel(graph: Graph, start: DataFrame, message: Column, combine: Callable[[Column], Column], update: Callable[[Column, Column], Column], direction: str = "out", max_rounds: int | None = None, edges: DataFrame | None = None) -> DataFrame:
     """`start(id, value)`: null values are silent.  `message`: expression over `value` and the
     edge's columns; `combine`: an aggregate; `update`: new value from the old one and the
-    combined message.  Only vertices that changed send in the next round."""
+    combined message.  Only vertices that changed send in the next round; rounds go on until
+    none has, or fail after `max_rounds`.  Edges are made once, and written before the loop."""
     rows = graph.edges if edges is None else edges
     out = rows.withColumnRenamed("src", "__from").withColumnRenamed("dst", "__to")
     into = rows.withColumnRenamed("dst", "__from").withColumnRenamed("src", "__to")
-    sends = {"out": out, "in": into, "both": out.unionByName(into)}[direction]
+    sends = cut({"out": out, "in": into, "both": out.unionByName(into)}[direction].drop("id"))
     state = cut(start.select("id", "value", F.col("value").isNotNull().alias("live")))
-    for _ in range(max_rounds):
+    for _ in range(max_rounds) if max_rounds is not None else count():
         live = state.where("live").select(F.col("id").alias("__from"), "value")
         got = sends.join(live, "__from").select(F.col("__to").alias("id"), message.alias("__m")).groupBy("id").agg(combine("__m").alias("__m"))
         new = state.join(got, "id", "left").withColumn("__new", F.when(F.col("__m").isNull(), F.col("value")).otherwise(update(F.col("value"), F.col("__m"))))
@@ -50,7 +52,7 @@ def shortest_paths(graph: Graph, source, weight: Column | None = None, direction
     return found if unreachable is None else found.withColumn("value", F.coalesce("value", F.lit(float(unreachable))))
 
 
-def bfs(graph: Graph, source, direction: str = "both", max_rounds: int = 100) -> DataFrame:
+def bfs(graph: Graph, source, direction: str = "both", max_rounds: int | None = None) -> DataFrame:
     """(id, value): number of hops from the source."""
     start = graph.vertices.select("id", F.when(F.col("id") == source, F.lit(0)).alias("value"))
     return pregel(graph, start, F.col("value") + 1, F.min, lambda old, new: F.least(old, new), direction, max_rounds)
@@ -96,12 +98,12 @@ def label_propagation(graph: Graph, rounds: int = 5) -> DataFrame:
     """(id, value): each round every vertex takes the label most frequent among its
     neighbours, the least one at ties."""
     links = graph.edges.select("src", "dst").where("src != dst")
-    links = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    links = cut(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
     state = graph.vertices.select("id", F.col("id").alias("value"))
     for _ in range(rounds):
         votes = links.join(state.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id"), "value").agg(F.count("*").alias("n"))
-        best = votes.groupBy("id").agg(F.max_by("value", F.struct(F.col("n"), F.lit(0))).alias("top"), F.max("n").alias("m"))
-        least = votes.join(best.select("id", "m"), "id").where("n = m").groupBy("id").agg(F.min("value").alias("new"))
+        most = votes.groupBy("id").agg(F.max("n").alias("m"))
+        least = votes.join(most, "id").where("n = m").groupBy("id").agg(F.min("value").alias("new"))
         state = cut(state.join(least, "id", "left").select("id", F.coalesce("new", "value").alias("value")))
     return state
 

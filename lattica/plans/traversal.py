@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from itertools import count
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -21,8 +22,6 @@ from ..errors import GraphError
 from ..model import Graph
 from .predicates import P, eq
 
-#: Rounds after which an open repeat() is cut off with an error.
-MAX_LOOPS = 64
 #: A loop's plan is checkpointed every so many rounds.
 CUT_EVERY = 4
 
@@ -69,14 +68,18 @@ class State:
     def moved(self, df: DataFrame, kind: str, **more) -> State:
         """New current objects; the path grows if it is kept."""
         if self.path:
-            now = F.col("__id" if kind in ("vertex", "edge") else "__value").cast("string")
-            df = df.withColumn("__path", F.concat("__path", F.array(now)))
+            df = df.withColumn("__path", F.concat("__path", F.array(_visited(kind))))
         return replace(self, df=df, kind=kind, **({"attached": False} | more))
 
 
 Step = Callable[[State], State]
 
 
+def _visited(kind: str) -> Column:
+    """The current object as an item of the path; a vertex and an edge with one id differ."""
+    return F.struct(F.lit(kind).alias("kind"), F.col("__id" if kind in ("vertex", "edge") else "__value").cast("string").alias("at"))
+
+
 class Traversal:
     """A chain of steps.  Without graph it is anonymous, for use inside other steps."""
 
@@ -129,6 +132,27 @@ class Traversal:
     def explain(self) -> None:
         self.df().explain("formatted")
 
+    def profile(self) -> list[tuple[str, int | None]]:
+        """Runs the traversal and names the operators of the plan that ran, from the last to
+        the first, with the rows that each gave where Spark counts them."""
+        execution = self.df()._jdf.queryExecution()
+        execution.toRdd().count()
+        found, todo = [], [execution.executedPlan()]
+        while todo:
+            node = todo.pop()
+            kind = node.getClass().getSimpleName()
+            if kind == "AdaptiveSparkPlanExec":
+                todo.append(node.executedPlan())
+                continue
+            if kind.endswith("QueryStageExec"):
+                todo.append(node.plan())
+                continue
+            rows = node.metrics().get("numOutputRows")
+            found.append((node.nodeName(), rows.get().value() if rows.isDefined() else None))
+            children = node.children()
+            todo += [children.apply(k) for k in reversed(range(children.size()))]
+        return found
+
     # sources
 
     def _source(self, kind: str, ids: tuple) -> Traversal:
@@ -140,7 +164,7 @@ class Traversal:
             keys = s.graph.vertex_keys() if kind == "vertex" else s.graph.edge_keys()
             df = table.select(F.col("id").alias("__id"), *(F.col(c).alias(f"p_{c}") for c in meta), *(F.col(f"`{k}`").alias(f"p_{k}") for k in keys))
             if s.path:
-                df = df.withColumn("__path", F.array(F.col("__id").cast("string")))
+                df = df.withColumn("__path", F.array(_visited(kind)))
             return replace(s, df=df, kind=kind, attached=True)
 
         return self._then("V" if kind == "vertex" else "E", step)
@@ -156,7 +180,7 @@ class Traversal:
             new = s.graph.spark.createDataFrame([(v,) for v in values], ["__value"])
             if s.df is None:
                 if s.path:
-                    new = new.withColumn("__path", F.array(F.col("__value").cast("string")))
+                    new = new.withColumn("__path", F.array(_visited("value")))
                 return replace(s, df=new, kind="value")
             return replace(s, df=s.df.select("__value").unionByName(new), kind="value")
 
@@ -344,17 +368,29 @@ class Traversal:
     def range(self, low: int, high: int) -> Traversal:
         return self._slice("range", low, high)
 
-    def tail(self, n: int, *keys: str) -> Traversal:
-        """The last n in order of the keys."""
+    def _first(self, name: str, n: int, order: Callable[[State], tuple[State, list[Column]]]) -> Traversal:
+        """The first n in an order; within a child traversal of each object it started from."""
         def step(s: State) -> State:
+            s, columns = order(s)
+            if "__root" not in s.df.columns:
+                return replace(s, df=s.df.orderBy(*columns).limit(n))
+            rank = F.row_number().over(W.partitionBy("__root").orderBy(*columns))
+            return replace(s, df=s.df.withColumn("__n", rank).where(F.col("__n") <= n).drop("__n"))
+
+        return self._then(name, step)
+
+    def tail(self, n: int, *keys: str) -> Traversal:
+        """The last n in order of the keys (without keys in the order that order() gave, or of
+        the current objects)."""
+        def order(s: State) -> tuple[State, list[Column]]:
             s = s.attach() if keys else s
-            order = [s.column(k) for k in keys] or [F.col(s.current)]
-            return replace(s, df=s.df.orderBy(*(c.desc() for c in order)).limit(n))
+            columns = [s.column(k) for k in keys] or [F.col("__rank" if "__rank" in s.df.columns else s.current)]
+            return s, [c.desc() for c in columns]
 
-        return self._then("tail", step)
+        return self._first("tail", n, order)
 
     def sample(self, n: int, seed: int = 0) -> Traversal:
-        return self._then("sample", lambda s: replace(s, df=s.df.orderBy(F.rand(seed)).limit(n)))
+        return self._first("sample", n, lambda s: (s, [F.xxhash64(s.current, F.lit(seed)), F.rand(seed)]))
 
     def coin(self, p: float, seed: int = 0) -> Traversal:
         return self._then("coin", lambda s: replace(s, df=s.df.where(F.rand(seed) < p)))
@@ -446,7 +482,33 @@ class Traversal:
     def identity(self) -> Traversal:
         return self._then("identity", lambda s: s)
 
-    barrier = none_ = side_effect = identity
+    #: Steps run as one plan, so there is nothing to wait for.
+    barrier = identity
+
+    def none_(self) -> Traversal:
+        """No traverser goes on."""
+        return self._then("none", lambda s: replace(s, df=s.df.where(F.lit(False))))
+
+    def side_effect(self, child: Traversal) -> Traversal:
+        """What the child gathers with aggregate() stays; the traversers go on unchanged."""
+        return self._then("sideEffect", lambda s: replace(s, stores=s.stores | child.apply(s).stores))
+
+    sideEffect = side_effect
+
+    def call(self, name: str, **arguments) -> Traversal:
+        """A named algorithm over the graph gives each vertex a value (none: no traverser)."""
+        def step(s: State) -> State:
+            from ..operators import adjacency
+            from . import pregel
+
+            services = {"degree": lambda g, **k: adjacency.degrees(g, **k).withColumnRenamed("degree", "value"), "page_rank": pregel.page_rank, "components": pregel.connected_components, "label_propagation": pregel.label_propagation, "triangles": pregel.triangle_count, "shortest_paths": pregel.shortest_paths}
+            if name not in services:
+                raise GraphError(f"there is no service {name}")
+            found = services[name](s.graph, **arguments).select(F.col("id").alias("__v"), F.col("value").alias("__value")).where("__value IS NOT NULL")
+            df = s.df.join(found, F.col("__id") == F.col("__v")).select("__value", *(F.col(f"`{c}`") for c in s.carried() if c != "__from"))
+            return s.moved(df, "value")
+
+        return self._then("call", step)
 
     def map(self, make: Callable[[Column], Column] | Traversal) -> Traversal:
         """A column expression of the current value (string, date, list and own functions),
@@ -516,23 +578,33 @@ class Traversal:
 
         return self._then("project", step)
 
-    def path(self, by: str | None = None) -> Traversal:
-        """The list of visited ids and values, or of a property of the visited vertices."""
+    def path(self, *by: str) -> Traversal:
+        """The list of visited ids and values; with by, of properties of the visited elements
+        (several take turns), null where an element lacks it.  Values stay as they are."""
         def step(s: State) -> State:
-            if by is None:
-                return replace(s, df=s.df.select(F.col("__path").alias("__value")), kind="value", attached=False)
-            rows = s.df.select("__path", F.monotonically_increasing_id().alias("__row"))
-            ids = rows.select("__row", F.posexplode("__path").alias("__at", "__step"))
-            named = ids.join(s.graph.vertices.select(F.col("id").cast("string").alias("__step"), F.col(by).alias("__by")), "__step")
-            lists = named.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("__at", "__by"))).alias("__l"))
-            return replace(s, df=lists.select(F.transform("__l", lambda x: x["__by"]).alias("__value")), kind="value", attached=False)
+            if not by:
+                return replace(s, df=s.df.select(F.transform("__path", lambda x: x["at"]).alias("__value"), *(F.col(f"`{c}`") for c in s.carried() if c == "__root")), kind="value", attached=False)
+            own = [c for c in s.carried() if c == "__root"]
+            rows = s.df.select("__path", *own, F.monotonically_increasing_id().alias("__row"))
+            items = rows.select("__row", *own, F.posexplode("__path").alias("__at", "__item")).select("__row", *own, "__at", F.col("__item.kind").alias("__kind"), F.col("__item.at").alias("__step"), F.pmod("__at", F.lit(len(by))).alias("__turn"))
+            named = None
+            for kind, table in (("vertex", s.graph.vertices), ("edge", s.graph.edges)):
+                for k, key in enumerate(by):
+                    if key in table.columns:
+                        part = table.select(F.lit(kind).alias("__kind"), F.col("id").cast("string").alias("__step"), F.lit(k).alias("__turn"), F.col(f"`{key}`").cast("string").alias("__by"))
+                        named = part if named is None else named.union(part)
+            items = items.withColumn("__by", F.lit(None).cast("string")) if named is None else items.join(named, ["__kind", "__step", "__turn"], "left")
+            item = F.when(F.col("__kind").isin("vertex", "edge"), F.col("__by")).otherwise(F.col("__step"))
+            lists = items.groupBy("__row", *own).agg(F.sort_array(F.collect_list(F.struct("__at", item.alias("__by")))).alias("__l"))
+            return replace(s, df=lists.select(F.transform("__l", lambda x: x["__by"]).alias("__value"), *own), kind="value", attached=False)
 
         return self._then("path", step)
 
     def tree(self) -> DataFrame:
         """Rows (path, n): every distinct prefix of the paths, the nodes of the tree."""
         t = self._then("tree", lambda s: s)
-        rows = t.state().df.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("__path")), lambda n: F.slice("__path", 1, n))).alias("path"))
+        steps = t.state().df.select(F.transform("__path", lambda x: x["at"]).alias("path"))
+        rows = steps.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n))).alias("path"))
         return rows.groupBy("path").agg(F.count("*").alias("n"))
 
     def loops(self) -> Traversal:
@@ -569,7 +641,12 @@ class Traversal:
     def mean(self) -> Traversal:
         return self._agg("mean", F.avg)
 
+    def reduce(self, how: Callable[[str], Column]) -> Traversal:
+        """Any aggregate function of the current objects, such as functions.product."""
+        return self._agg("reduce", how)
+
     def fold(self) -> Traversal:
+        """All objects in one list, which one task holds; aggregates do without it."""
         return self._agg("fold", F.collect_list, empty=True)
 
     def unfold(self) -> Traversal:
@@ -590,12 +667,17 @@ class Traversal:
 
     def group(self, by=None, value: str | None = None, how: Callable = F.collect_list) -> Traversal:
         """Rows (key, value): `how` over a property (default the object) by key; traversers
-        without key are dropped."""
+        without key are dropped.  Values are combined before the shuffle if `how` can (sums,
+        counts, extremes); the default gathers a key's objects in one row."""
         def step(s: State) -> State:
             s, key = (s, F.col(s.current)) if by is None else _by(s, by)
             s, v = (s, F.col(s.current)) if value is None else _by(s, value)
-            rows = s.df.select(key.alias("key"), v.alias("__v")).where("key IS NOT NULL")
-            return replace(s, df=rows.groupBy("key").agg(how("__v").alias("value")), kind="row", attached=False, path=False, tags={})
+            root = ["__root"] if "__root" in s.df.columns else []
+            rows = s.df.select(*root, key.alias("key"), v.alias("__v")).where("key IS NOT NULL")
+            found = rows.groupBy(*root, "key").agg(how("__v").alias("value"))
+            if root:  # within a child traversal one map for each object it started from
+                found = found.groupBy("__root").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("__value"))
+            return replace(s, df=found, kind="value" if root else "row", attached=False, path=False, tags={})
 
         return self._then("group", step)
 
@@ -670,10 +752,11 @@ class Traversal:
 
         return self._then("branch" + _paths(tuple(options.values())), step)
 
-    def repeat(self, child: Traversal, times: int | None = None, until: Traversal | Column | None = None, emit: bool | Traversal = False, first: str = "do") -> Traversal:
+    def repeat(self, child: Traversal, times: int | None = None, until: Traversal | Column | None = None, emit: bool | Traversal = False, first: str = "do", max_loops: int | None = None) -> Traversal:
         """repeat(child): `times` rounds, or until a child traversal yields (a column holds);
         first: 'do' tests after a round, 'while' before it; emit: also what each round gives.
-        Rounds with a fixed number are one unrolled plan; open ones stop when nothing is left."""
+        Rounds with a fixed number are one unrolled plan; open ones stop when nothing is left,
+        however many rounds that takes, or fail after `max_loops` rounds."""
         def step(s: State) -> State:
             done: list[State] = []
 
@@ -690,8 +773,8 @@ class Traversal:
                 return replace(at, df=at.df.where(~F.coalesce(until, F.lit(False))))
 
             now = replace(s, df=s.df.withColumn("__loops", F.lit(0)))
-            rounds = times if times is not None else MAX_LOOPS
-            for k in range(rounds):
+            rounds = times if times is not None else max_loops
+            for k in range(rounds) if rounds is not None else count():
                 if first == "while":
                     now = settled(now)
                 now = child.apply(now)
@@ -784,6 +867,27 @@ class Traversal:
         value = value if isinstance(value, Column) else F.lit(value)
         return mutate.set_property(s.graph, s.kind, key, s.df.select(F.col("__id").alias("id"), value.alias("value")).distinct())
 
+    def addV(self, label: str = "vertex", **properties) -> Graph:
+        """A new vertex, or one for each traverser; ids are random unless given."""
+        from ..operators import mutate
+
+        rows = self.state().df if self.steps else self.graph.spark.range(1)
+        return mutate.add_vertices(self.graph, rows.select(F.lit(label).alias("label"), *(F.lit(v).alias(k) for k, v in properties.items())))
+
+    def mergeV(self, match: dict[str, Any], on_create: dict[str, Any] | None = None, on_match: dict[str, Any] | None = None) -> Graph:
+        """Sets `on_match` on the vertices that agree with `match`; without any, adds one."""
+        from ..operators import mutate
+
+        batch = self.graph.spark.range(1).select(*(F.lit(v).alias(k) for k, v in {**match, **(on_create or {})}.items()))
+        return mutate.merge_vertices(self.graph, batch, list(match), {k: F.lit(v) for k, v in (on_match or {}).items()})
+
+    def mergeE(self, label: str, src, dst, **properties) -> Graph:
+        """Sets the properties of the edges of this label between two vertices, or adds one."""
+        from ..operators import mutate
+
+        values = {"label": label, "src": src, "dst": dst, **properties}
+        return mutate.merge_edges(self.graph, self.graph.spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items())))
+
     def addE(self, label: str, to: Traversal, **properties) -> Graph:
         """An edge from each vertex to each result of the child; ids are random."""
         from ..operators import mutate
@@ -814,7 +918,7 @@ def _paths(children) -> str:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    from .pregel import cut
+    from ..storage import cut
 
     return cut(df)
 

@@ -202,11 +202,20 @@ def w06_remove_property(s, d):
 
 @query(f"SELECT {CUSTOMER} AS id, CAST(n AS BIGINT) AS orders FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
 def w07_counter(s, d):
-    g = star.graph(s, d, ("customer",), ("placed",)).with_(catalog=Catalog(use_schema=True))
+    c = Catalog(use_schema=True).create_label("vertex", "customer", "string", orders="counter")
+    g = star.graph(s, d, ("customer",), ("placed",)).with_(catalog=c)
     deltas = g.edges.select(F.col("src").alias("id"), F.lit(1).alias("value"))
     return M.increment(g, "vertex", "orders", deltas).vertices.where("orders IS NOT NULL").select("id", "orders")
 
 
+@query("SELECT 'placed:' || l_orderkey AS id, count(*) AS lines FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1")
+def w07_edge_counter(s, d):
+    c = Catalog(use_schema=True).create_label("edge", "placed", "string", lines="counter")
+    g = star.graph(s, d, ("order",), ("placed",)).with_(catalog=c)
+    deltas = star.read(s, d, "lineitem").select(F.concat(F.lit("placed:"), F.col("l_orderkey").cast("string")).alias("id"), F.lit(1).alias("value"))
+    return M.increment(g, "edge", "lines", deltas).edges.where("lines IS NOT NULL").select("id", "lines")
+
+
 @query("SELECT count(*) * 2 AS n FROM nation")
 def w08_bulk_add(s, d):
     g = star.graph(s, d, ("nation",), ())
@@ -366,17 +375,16 @@ def g13_simple_path(s, d):
     return paths.select(F.array_join("value", ">").alias("value"))
 
 
-@query("SELECT count(*) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey < 20")
+@query("SELECT count(*) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey")
 def g14_repeat_times(s, d):
     g = star.graph(s, d, ("customer", "order", "part"), ("placed", "contains"))
-    start = [f"customer:{k}" for k in range(20)]
-    return g.V(*start).repeat(__.out("placed", "contains"), times=2).count().df()
+    return g.V().hasLabel("customer").repeat(__.out("placed", "contains"), times=2).count().df()
 
 
-@query("SELECT DISTINCT 'region:' || n_regionkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 5")
+@query("SELECT DISTINCT 'region:' || n_regionkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def g14_repeat_until(s, d):
     g = star.graph(s, d, ("customer", "nation", "region"), ("customer_in", "in_region"))
-    return g.V(*(f"customer:{k}" for k in range(5))).repeat(__.out(), until=__.hasLabel("region")).dedup().ids()
+    return g.V().hasLabel("customer").repeat(__.out(), until=__.hasLabel("region")).dedup().ids()
 
 
 @query("SELECT 'sum' AS k, round(sum(p_size), 3) AS v FROM part UNION ALL SELECT 'min', min(p_size) FROM part UNION ALL SELECT 'max', max(p_size) FROM part UNION ALL SELECT 'mean', round(avg(p_size), 3) FROM part")
@@ -427,11 +435,11 @@ def g19_subgraph(s, d):
     return sub.vertices.agg(F.count("*").alias("n")).select(F.lit("v").alias("kind"), "n").union(sub.edges.agg(F.count("*").alias("n")).select(F.lit("e").alias("kind"), "n"))
 
 
-@query("SELECT 'part:' || l_partkey AS id, round(l_quantity * 1.0 + 10, 2) AS sack FROM lineitem WHERE l_orderkey < 50")
+@query("SELECT 'part:' || l_partkey AS id, round(l_quantity * 1.0 + 10, 2) AS sack, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def g20_sack(s, d):
     g = star.graph(s, d, ("order", "part"), ("contains",))
-    t = g.V(*(f"order:{k}" for k in range(50))).withSack(10.0).outE("contains").sack(lambda a, b: a + b, by="l_quantity").inV().state()
-    return t.df.select(F.col("__id").alias("id"), F.round("__sack", 2).alias("sack"))
+    t = g.V().hasLabel("order").withSack(10.0).outE("contains").sack(lambda a, b: a + b, by="l_quantity").inV().state()
+    return t.df.groupBy(F.col("__id").alias("id"), F.round("__sack", 2).alias("sack")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT upper(n_name) || '-' || length(n_name) || '-' || substr(n_name, 2, 2) AS value FROM nation")
@@ -448,7 +456,7 @@ def g24_dates(s, d):
 
 @query("SELECT key, len(list_distinct(b)) AS shared FROM (SELECT p_brand AS key, list_filter(list(p_size), lambda x: x <= 5) AS b FROM part GROUP BY 1)")
 def g25_lists(s, d):
-    rows = star.graph(s, d, ("part",), ()).V().group("p_brand", "p_size", F.collect_list).df()
+    rows = star.graph(s, d, ("part",), ()).V().group("p_brand", "p_size", F.collect_set).df()
     few = F.array(*(F.lit(k) for k in range(6)))
     return rows.select("key", F.size(S.intersect(F.col("value"), few)).cast("long").alias("shared"))
 
@@ -456,10 +464,13 @@ def g25_lists(s, d):
 # typed values
 
 
-@query("SELECT count(*) AS n, count(DISTINCT p_size) AS k FROM part")
+@query("SELECT p_size, p_retailprice, 'part:' || p_partkey AS id, row_number() OVER (ORDER BY p_size NULLS FIRST, p_retailprice NULLS FIRST, 'part:' || p_partkey) AS place FROM part")
 def x01_sort_keys(s, d):
+    """Places by the ordered keys of a whole number, a fraction and a text."""
     v = star.graph(s, d, ("part",), ()).vertices
-    return v.select(X.sort_key(F.col("p_size"), "int").alias("k")).agg(F.count("k").alias("n"), F.countDistinct("k").alias("k"))
+    keys = [X.sort_key(F.col("p_size"), "int"), X.sort_key(F.col("p_retailprice"), "double"), X.sort_key(F.col("id"), "string")]
+    placed = v.select("p_size", "p_retailprice", "id", *(k.alias(f"k{i}") for i, k in enumerate(keys)))
+    return star.with_place(placed, ["k0", "k1", "k2"]).select("p_size", "p_retailprice", "id", F.col("__place").alias("place"))
 
 
 @query("SELECT id, key, value FROM (SELECT 'nation:' || n_nationkey AS id, 'n_name' AS key, n_name AS value FROM nation UNION ALL SELECT 'nation:' || n_nationkey, 'n_nationkey', CAST(n_nationkey AS VARCHAR) FROM nation UNION ALL SELECT 'nation:' || n_nationkey, 'n_regionkey', CAST(n_regionkey AS VARCHAR) FROM nation)")
@@ -556,10 +567,14 @@ def w20_orphan_index_rows(s, d):
     return L.orphans(index, g.vertices.where("o_totalprice >= 100000")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT n AS times, count(*) AS ids FROM (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2) WHERE n > 1 GROUP BY 1")
+@query("WITH b AS (SELECT DISTINCT 'order:' || (l_orderkey // 4 * 5) AS id FROM lineitem) SELECT 'new' AS kind, count(*) AS n FROM b WHERE id NOT IN (SELECT 'order:' || o_orderkey FROM orders) UNION ALL SELECT 'there', count(*) FROM b WHERE id IN (SELECT 'order:' || o_orderkey FROM orders) UNION ALL SELECT 'all', (SELECT count(*) FROM orders) + (SELECT count(*) FROM b WHERE id NOT IN (SELECT 'order:' || o_orderkey FROM orders))")
 def w12_repeated_keys(s, d):
-    rows = star.read(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("times"))
-    return rows.where("times > 1").groupBy("times").agg(F.count("*").alias("ids"))
+    """Create where absent, from a batch in which every id comes several times."""
+    g = star.graph(s, d, ("order",), ())
+    batch = star.read(s, d, "lineitem").select(F.concat(F.lit("order:"), F.expr("l_orderkey div 4 * 5").cast("string")).alias("id"), F.lit("order").alias("label"), F.lit("new").alias("o_orderstatus"))
+    done, there = M.create_absent(g, batch)
+    n = lambda k, df: df.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n")
+    return n("new", done.vertices.where("o_orderstatus = 'new'")).union(n("there", there)).union(n("all", done.vertices))
 
 
 @query(f"WITH {TRADE} SELECT 'nation:' || n_nationkey AS id, n_name, coalesce(degree, 0) AS degree FROM nation LEFT JOIN (SELECT src, count(*) AS degree FROM t GROUP BY 1) ON src = 'nation:' || n_nationkey")
@@ -618,3 +633,211 @@ def t01_windowed_counts(s, d):
 
     rows = windowed_counts(star.read(s, d, "events"), "1 day", "1 hour")
     return rows.groupBy("event_type").agg(F.sum("n").alias("n"), F.count("*").alias("days"))
+
+
+# repeated keys in a batch, and steps inside children
+
+
+@query("SELECT 'order:' || o_orderkey AS id, coalesce((SELECT max(l_shipdate) FROM lineitem WHERE l_orderkey = o_orderkey), o_orderdate) AS o_orderdate FROM orders")
+def w10_bulk_set_last_wins(s, d):
+    g = star.graph(s, d, ("order",), ())
+    updates = star.read(s, d, "lineitem").select(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("id"), F.col("l_shipdate").alias("value"), F.col("l_shipdate").alias("at"))
+    return M.set_property(g, "vertex", "o_orderdate", updates, order="at").vertices.select("id", "o_orderdate")
+
+
+@query("SELECT o_orderkey % 7 AS grade, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM customer")
+def w10_bulk_set_edges(s, d):
+    g = star.graph(s, d, ("customer",), ("placed", "customer_in"))
+    updates = g.edges.where("label = 'placed'").select("id", (F.split_part("id", F.lit(":"), F.lit(2)).cast("long") % 7).alias("value"))
+    return M.set_property(g, "edge", "grade", updates.unionAll(updates)).edges.groupBy("grade").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'nation:' || n_nationkey AS id, max(c_acctbal) AS best FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def g21_merge_repeated(s, d):
+    g = star.graph(s, d, ("nation",), ())
+    batch = star.read(s, d, "customer").select(F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("id"), F.lit("nation").alias("label"), F.col("c_acctbal").alias("best"), F.col("c_acctbal").alias("at"))
+    return M.merge_vertices(g, batch, ["id", "label"], order="at").vertices.select("id", "best")
+
+
+@query("SELECT 'customer:' || o_custkey AS src, 'order:' || (o_orderkey // 2 * 2) AS dst, count(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderkey // 2 * 2 AS o_orderkey FROM orders UNION SELECT o_custkey, o_orderkey FROM orders) GROUP BY 1, 2")
+def g21_merge_edges_repeated(s, d):
+    g = star.graph(s, d, ("customer", "order"), ("placed",))
+    even = F.concat(F.lit("order:"), F.expr("CAST(split_part(dst, ':', 2) AS BIGINT) div 2 * 2").cast("string"))
+    batch = g.edges.select("label", "src", even.alias("dst"))
+    named = M.merge_edges(g, batch.unionAll(batch)).edges.select("src", even.alias("dst"))
+    return named.groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+@query("SELECT v AS id, o_totalprice FROM (SELECT 'placed:' || o_orderkey AS v, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, 'placed:' || o_orderkey DESC) AS r FROM orders) WHERE r <= 2")
+def g09_tail_in_child(s, d):
+    g = star.graph(s, d, ("customer",), ("placed",))
+    return g.V().local(__.outE("placed").order("o_totalprice").tail(2)).df().select("id", "o_totalprice")
+
+
+@query("SELECT least(3, n) AS key, count(*) AS value FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey) GROUP BY 1")
+def g09_sample_in_child(s, d):
+    g = star.graph(s, d, ("customer",), ("placed",))
+    t = g.V().as_("c").local(__.outE("placed").sample(3)).select("c").df().groupBy("id").count()
+    return t.groupBy(F.col("count").alias("key")).agg(F.count("*").alias("value"))
+
+
+@query("SELECT CAST(greatest(0, n - 2) AS BIGINT) AS key, count(*) AS value FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey) WHERE n > 2 GROUP BY 1")
+def g09_skip_in_child(s, d):
+    g = star.graph(s, d, ("customer",), ("placed",))
+    t = g.V().as_("c").local(__.outE("placed").skip(2)).select("c").df().groupBy("id").count()
+    return t.groupBy(F.col("count").alias("key")).agg(F.count("*").alias("value"))
+
+
+@query("SELECT c_name || '>' || CAST(o_totalprice AS VARCHAR) || '>' || o_orderstatus AS value FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 150000 AND o_totalprice = floor(o_totalprice)")
+def g13_path_by(s, d):
+    g = star.graph(s, d, ("customer", "order"), ("placed",))
+    paths = g.V().hasLabel("customer").outE("placed").has("o_totalprice", P.gt(150000)).filter(F.col("p_o_totalprice") == F.floor("p_o_totalprice")).inV().path("c_name", "o_totalprice", "o_orderstatus").df()
+    return paths.select(F.array_join("value", ">", "?").alias("value"))
+
+
+@query("SELECT c_mktsegment AS segment, o_orderpriority AS priority, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2")
+def g16_group_in_child(s, d):
+    g = star.graph(s, d, ("customer", "order"), ("placed",))
+    t = g.V().hasLabel("customer").as_("c").local(__.out("placed").groupCount("o_orderpriority")).state()
+    rows = t.df.select(F.col("`@c`").alias("id"), F.explode("__value").alias("priority", "n"))
+    return rows.join(g.vertices.select("id", F.col("c_mktsegment").alias("segment")), "id").groupBy("segment", "priority").agg(F.sum("n").alias("n"))
+
+
+def _sizes_where(test: str) -> str:
+    return f"SELECT p_size AS key, count(*) AS value FROM part WHERE {test} GROUP BY 1"
+
+
+def _sizes(s, d, test: P.P) -> DataFrame:
+    return star.graph(s, d, ("part",), ()).V().has("p_size", test).groupCount("p_size").df()
+
+
+@query(_sizes_where("p_size < 10"))
+def g06_lt(s, d):
+    return _sizes(s, d, P.lt(10))
+
+
+@query(_sizes_where("p_size <= 10"))
+def g06_lte(s, d):
+    return _sizes(s, d, P.lte(10))
+
+
+@query(_sizes_where("p_size >= 10"))
+def g06_gte(s, d):
+    return _sizes(s, d, P.gte(10))
+
+
+@query(_sizes_where("p_size > 10 AND p_size < 20"))
+def g06_inside(s, d):
+    return _sizes(s, d, P.inside(10, 20))
+
+
+@query(_sizes_where("p_size < 10 OR p_size > 20"))
+def g06_outside(s, d):
+    return _sizes(s, d, P.outside(10, 20))
+
+
+@query(_sizes_where("p_size IN (3, 9, 27)"))
+def g06_within(s, d):
+    return _sizes(s, d, P.within(3, 9, 27))
+
+
+@query(_sizes_where("p_size NOT IN (3, 9, 27)"))
+def g06_without(s, d):
+    return _sizes(s, d, P.without(3, 9, 27))
+
+
+@query("SELECT 'nation:' || n_nationkey AS id FROM nation UNION ALL SELECT 'region:0' FROM region WHERE r_regionkey = 0")
+def g05_ids_keys(s, d):
+    g = star.graph(s, d, ("nation", "region"), ())
+    return g.V().union(__.hasNot("r_name"), __.hasId("region:0")).ids()
+
+
+@query("SELECT 'nation:' || n_nationkey AS id FROM nation WHERE n_regionkey = 1 OR n_nationkey < 3 UNION ALL SELECT 'nation:' || n_nationkey FROM nation WHERE n_regionkey = 1 AND n_nationkey >= 3")
+def g07_and_or(s, d):
+    one, low = __.has("n_regionkey", 1), __.has("n_nationkey", P.lt(3))
+    return star.graph(s, d, ("nation",), ()).V().union(__.or_(one, low), __.and_(one, __.not_(low))).ids()
+
+
+@query("SELECT p_size AS value FROM part WHERE p_size > 45")
+def g07_is(s, d):
+    return star.graph(s, d, ("part",), ()).V().values("p_size").is_(P.gt(45)).df()
+
+
+@query("SELECT 'nation:' || n_nationkey AS id, n_name AS name FROM nation")
+def g11_value_map(s, d):
+    t = star.graph(s, d, ("nation",), ()).V().valueMap("n_name", "n_nationkey").df()
+    return t.select(F.concat(F.lit("nation:"), F.element_at(F.col("value")["n_nationkey"], 1)).alias("id"), F.col("value")["n_name"][0].alias("name"))
+
+
+@query("SELECT 'placed:' || o_orderkey AS id, 'placed' AS label, 'customer:' || o_custkey AS src FROM orders")
+def g11_element_map(s, d):
+    t = star.graph(s, d, ("customer",), ("placed",)).E().elementMap().df()
+    return t.select(F.col("value")["id"].alias("id"), F.col("value")["label"].alias("label"), F.col("value")["src"].alias("src"))
+
+
+@query("SELECT p_size AS value FROM part")
+def g15_fold_unfold(s, d):
+    return star.graph(s, d, ("part",), ()).V().values("p_size").fold().unfold().df()
+
+
+@query("SELECT bit_xor(p_partkey) AS value FROM part")
+def g15_reduce(s, d):
+    return star.graph(s, d, ("part",), ()).V().values("p_partkey").reduce(F.bit_xor).df()
+
+
+@query("SELECT 'order:' || o_orderkey AS id FROM orders UNION ALL SELECT 'customer:' || c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def g17_optional(s, d):
+    return star.graph(s, d, ("customer", "order"), ("placed",)).V().hasLabel("customer").optional(__.out("placed")).ids()
+
+
+@query("SELECT 'region:' || n_regionkey AS id FROM nation UNION ALL SELECT 'nation:' || s_nationkey FROM supplier")
+def g17_branch(s, d):
+    g = star.graph(s, d, ("nation", "region", "supplier"), ("in_region", "supplier_in"))
+    return g.V().branch("label", {"nation": __.out("in_region"), "supplier": __.out("supplier_in")}).ids()
+
+
+@query("SELECT 'nation:' || c_nationkey AS id, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT 'region:' || n_regionkey, count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def g14_emit(s, d):
+    g = star.graph(s, d, ("customer", "nation", "region"), ("customer_in", "in_region"))
+    return g.V().hasLabel("customer").repeat(__.out(), times=2, emit=True).ids().groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) * 2 AS n, CAST(sum(o_totalprice) AS DOUBLE) AS total FROM (SELECT CAST(o_totalprice AS DECIMAL(18, 2)) AS o_totalprice FROM orders)")
+def g19_aggregate(s, d):
+    t = star.graph(s, d, ("order",), ()).V().aggregate("prices", "o_totalprice").side_effect(__.aggregate("seen"))
+    prices, seen = t.cap("prices"), t.cap("seen")
+    n = prices.select("value").unionAll(seen.select(F.lit(None).cast("double").alias("value")))
+    return n.agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
+
+
+@query("SELECT 'part:' || p_partkey AS id, coalesce(n, 0) AS degree FROM part JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey")
+def g22_call(s, d):
+    g = star.graph(s, d, ("part", "order"), ("contains",))
+    t = g.V().hasLabel("part").as_("p").call("degree", direction="in").state()
+    return t.df.select(F.col("`@p`").alias("id"), F.col("__value").alias("degree"))
+
+
+_VOTES = "SELECT v, value, n, rank() OVER (PARTITION BY v ORDER BY n DESC) AS r FROM (SELECT dst AS v, value, count(*) AS n FROM l JOIN {k} ON src = id GROUP BY 1, 2)"
+_ROUND = "SELECT ids.id, coalesce(m.value, old.value) AS value FROM ids JOIN {k} old ON ids.id = old.id LEFT JOIN (SELECT v, min(value) AS value FROM (" + _VOTES + ") WHERE r = 1 GROUP BY 1) m ON m.v = ids.id"
+
+
+@query(
+    "WITH e AS (SELECT 'customer:' || c_custkey AS src, 'nation:' || c_nationkey AS dst FROM customer UNION ALL SELECT 'customer:' || o_custkey, 'order:' || o_orderkey FROM orders), l AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),"
+    "ids AS (SELECT 'customer:' || c_custkey AS id FROM customer UNION ALL SELECT 'nation:' || n_nationkey FROM nation UNION ALL SELECT 'order:' || o_orderkey FROM orders),"
+    f"s0 AS (SELECT id, id AS value FROM ids), s1 AS ({_ROUND.format(k='s0')}), s2 AS ({_ROUND.format(k='s1')}) SELECT id, value FROM s2"
+)
+def p06_label_propagation(s, d):
+    return G.label_propagation(star.graph(s, d, ("customer", "nation", "order"), ("customer_in", "placed")), rounds=2)
+
+
+@query("SELECT 'customer:' || c_custkey AS id, CASE WHEN c_nationkey = 3 THEN 1 ELSE 3 END AS hops FROM customer WHERE c_nationkey = 3 OR c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 3))")
+def p06_bfs_customers(s, d):
+    g = star.graph(s, d, ("customer", "nation", "region", "order"), ("customer_in", "in_region", "placed"))
+    found = G.bfs(g, "nation:3").where("id LIKE 'customer:%'")
+    near = F.when(F.col("value") == 1, 1).otherwise(F.col("value"))
+    return found.where("value <= 3").select("id", near.cast("int").alias("hops"))
+
+
+@query("SELECT 'next_user:' || event_id AS id, user_id AS src, nxt AS dst FROM (SELECT event_id, user_id, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL")
+def p06_event_sequence(s, d):
+    return star.user_sequence(s, d).edges.select("id", "src", "dst")

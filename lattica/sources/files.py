@@ -76,6 +76,18 @@ def read_graphml(spark: SparkSession, path: str, types: dict[str, str]) -> Graph
     return Graph(nodes.select(F.col("_id").alias("id"), *keyed(nodes, "labelV")), links.select(F.col("_id").alias("id"), F.col("_source").alias("src"), F.col("_target").alias("dst"), *keyed(links, "labelE")))
 
 
+def write_graphml(graph: Graph, path: str) -> None:
+    """Folders `nodes` and `edges` of XML files that read_graphml reads as they are."""
+    def rows(table: DataFrame, attributes: dict[str, str], label: str, keys: list[str]) -> DataFrame:
+        pairs = [("label", label), *((k, k) for k in keys)]
+        data = F.array(*(F.struct(F.lit(name).alias("_key"), F.col(f"`{c}`").cast("string").alias("_VALUE")) for c, name in pairs))
+        return table.select(*(F.col(c).cast("string").alias(n) for c, n in attributes.items()), F.filter(data, lambda x: x["_VALUE"].isNotNull()).alias("data"))
+
+    write = lambda df, tag: df.write.format("xml").option("rootTag", "graph").option("rowTag", tag).save(f"{path}/{tag}s")
+    write(rows(graph.vertices, {"id": "_id"}, "labelV", graph.vertex_keys()), "node")
+    write(rows(graph.edges, {"id": "_id", "src": "_source", "dst": "_target"}, "labelE", graph.edge_keys()), "edge")
+
+
 def write_text(result: DataFrame, path: str) -> None:
     """(id, value) as tab-separated text."""
     result.select(F.col("id").cast("string"), F.col("value").cast("string")).write.csv(path, sep="\t")

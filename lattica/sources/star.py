@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import Graph
+from ..storage import cut
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,10 +81,35 @@ def trade(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(vertex_table(spark, sf_dir, "nation"), edges)
 
 
+def with_next(events: DataFrame, type: str, order: list[str], value: str) -> DataFrame:
+    """`events` with __next, the value of the event that follows within its type, or null.  Events
+    are sorted by range over all tasks, so a frequent type fills many of them; a partition's last
+    event of a type looks at the first ones of later partitions (a row a partition and type)."""
+    parts = max(1, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # written once, so that partitions keep their numbers
+    rows = cut(events.repartitionByRange(parts, type, *order).withColumn("__part", F.spark_partition_id()))
+    near = F.lead(value).over(W.partitionBy("__part", type).orderBy(*order))
+    firsts = rows.groupBy(type, "__part").agg(F.min_by(value, F.struct(*order)).alias("__first"))
+    after = firsts.select(F.col(type).alias("__t"), F.col("__part").alias("__p"), F.lead("__first").over(W.partitionBy(type).orderBy("__part")).alias("__first"))
+    # a row for each type and partition: bounded by the number of types plus partitions
+    rows = rows.withColumn("__next", near).join(after, F.col(type).eqNullSafe(F.col("__t")) & (F.col("__part") == F.col("__p")))
+    return rows.withColumn("__next", F.coalesce("__next", "__first")).drop("__part", "__first", "__t", "__p")
+
+
+def with_place(rows: DataFrame, order: list[str]) -> DataFrame:
+    """`rows` with __place from 1 on in this order: sorted by range over all tasks, and numbered
+    from the counts of the partitions before (one row for each partition)."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kept = cut(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    before = F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    bases = kept.groupBy("__part").count().select("__part", F.coalesce(before, F.lit(0)).alias("__base"))
+    own = F.row_number().over(W.partitionBy("__part").orderBy(*order))
+    return kept.withColumn("__n", own).join(bases, "__part").withColumn("__place", F.col("__base") + F.col("__n")).drop("__part", "__base", "__n")
+
+
 def user_sequence(spark: SparkSession, sf_dir: str) -> Graph:
     """Users, and an edge from each event's user to the user of the next event of its type."""
     e = read(spark, sf_dir, "events")
-    w = W.partitionBy("event_type").orderBy("ts", "event_id")
-    steps = e.withColumn("next", F.lead("user_id").over(w)).where("next IS NOT NULL")
-    edges = steps.select(F.concat(F.lit("next_user:"), F.col("event_id").cast("string")).alias("id"), F.lit("next_user").alias("label"), F.col("user_id").alias("src"), F.col("next").alias("dst"), "value")
+    steps = with_next(e, "event_type", ["ts", "event_id"], "user_id").where("__next IS NOT NULL")
+    edges = steps.select(F.concat(F.lit("next_user:"), F.col("event_id").cast("string")).alias("id"), F.lit("next_user").alias("label"), F.col("user_id").alias("src"), F.col("__next").alias("dst"), "value")
     return Graph(e.select(F.col("user_id").alias("id"), F.lit("user").alias("label")).distinct(), edges)

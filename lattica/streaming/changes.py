@@ -19,11 +19,26 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hou
 
 
 def next_user_edges(events: DataFrame) -> DataFrame:
-    """Static or micro-batch events -> edges (src, dst) between users of consecutive events."""
-    from pyspark.sql import Window as W
+    """Static events -> edges (src, dst) between users of consecutive events of a type.  In a
+    stream use keep_next_edges, which carries the last event over the borders of batches."""
+    from ..sources.star import with_next
 
-    step = F.lead("user_id").over(W.partitionBy("event_type").orderBy("ts", "event_id"))
-    return events.select(F.col("user_id").alias("src"), step.alias("dst")).where("dst IS NOT NULL")
+    return with_next(events, "event_type", ["ts", "event_id"], "user_id").where("__next IS NOT NULL").select(F.col("user_id").alias("src"), F.col("__next").alias("dst"))
+
+
+def keep_next_edges(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes the edges of each micro-batch once, named by batch.  The last event of each type
+    is kept beside them and comes before the next batch, so no edge is lost at its border;
+    events are taken to arrive in order of batches."""
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.select("event_type", "ts", "event_id", "user_id")
+        if number:
+            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{path}/last/batch={number - 1}").select(rows.columns))
+        next_user_edges(rows).write.mode("overwrite").parquet(f"{path}/edges/batch={number}")
+        last = rows.groupBy("event_type").agg(F.max(F.struct("ts", "event_id", "user_id")).alias("x"))
+        last.select("event_type", "x.*").write.mode("overwrite").parquet(f"{path}/last/batch={number}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def keep_counters(events: DataFrame, path: str, checkpoint: str, key: str = "user_id") -> StreamingQuery:

@@ -134,7 +134,7 @@ def test_schema(spark):
 
 
 def test_counters(spark):
-    g = graph(spark, [("0", "a", 1)]).with_(catalog=Catalog(use_schema=True))
+    g = graph(spark, [("0", "a", 1)]).with_(catalog=Catalog(use_schema=True).create_label("vertex", "a", "string", hits="counter"))
     deltas = spark.createDataFrame([("0", 11), ("0", 1), ("0", -2)], "id string, value int")
     assert M.increment(g, "vertex", "hits", deltas).vertices.first().hits == 10
     with pytest.raises(errors.NoSchema):
@@ -191,3 +191,61 @@ def test_empty_graph(spark):
     g = graph(spark, [])
     assert g.V().out().count().to_list() == [0] and g.V().values("key1").sum().to_list() == []
     assert A.degrees(g).count() == 0 and g.edges.columns[:4] == list(E_META)
+
+
+# repeated keys in a batch
+
+
+def test_repeated_ids_in_updates(spark):
+    g = graph(spark, [("0", "a", 1), ("1", "a", 2)], [("e", "b", "0", "1", 5)])
+    twice = spark.createDataFrame([("0", 7, 1), ("0", 8, 3), ("0", 9, 2), ("9", 1, 1)], "id string, value int, at int")
+    for kind, ids in (("vertex", {"0": 8, "1": 2}), ("edge", {"e": 5})):
+        out = M.set_property(g, kind, "key1", twice, order="at")
+        table = out.vertices if kind == "vertex" else out.edges
+        assert {r.id: r.key1 for r in table.collect()} == ids and table.count() == len(ids)
+    same = spark.createDataFrame([("0", 7), ("0", 7)], "id string, value int")
+    assert sorted(r.key1 for r in M.set_property(g, "vertex", "key1", same).vertices.collect()) == [2, 7]
+    with pytest.raises(Exception, match="no order"):
+        M.set_property(g, "vertex", "key1", twice.select("id", "value")).vertices.collect()
+
+
+def test_repeated_keys_in_merges(spark):
+    g = graph(spark, [("0", "a", 1), ("1", "a", 2)], [("e", "b", "0", "1", 5)])
+    batch = spark.createDataFrame([("a", "0", 3, 1), ("a", "0", 4, 2), ("a", "n", 5, 1), ("a", "n", 6, 2)], "label string, id string, key1 int, at int")
+    out = M.merge_vertices(g, batch, ["id"], order="at").vertices.collect()
+    assert sorted((r.id, r.key1) for r in out) == [("0", 4), ("1", 2), ("n", 6)]
+    with pytest.raises(Exception, match="no order"):
+        M.merge_vertices(g, batch.drop("at"), ["id"]).vertices.collect()
+    edges = spark.createDataFrame([("b", "0", "1", 7), ("b", "0", "1", 7), ("b", "1", "0", 8), ("b", "1", "0", 8)], "label string, src string, dst string, key1 int")
+    assert sorted((r.src, r.key1) for r in M.merge_edges(g, edges).edges.collect()) == [("0", 7), ("1", 8)]
+    done, there = M.create_absent(g, vertices(spark, [("0", "a", 9), ("5", "a", 9), ("5", "a", 9)]))
+    assert sorted((r.id, r.key1) for r in done.vertices.collect()) == [("0", 1), ("1", 2), ("5", 9)] and [r.id for r in there.collect()] == ["0"]
+
+
+def test_counters_must_be_declared(spark):
+    c = Catalog(use_schema=True).create_label("vertex", "a", "string", hits="counter", key1="int").create_label("edge", "b", "string", hits="counter")
+    old = F.lit("2001-01-01").cast("timestamp")
+    g = graph(spark, [("0", "a", 1), ("1", "a", 2)], [("e", "b", "0", "1", 5)])
+    g = g.with_(catalog=c, vertices=g.vertices.withColumn("updated_at", old))
+    deltas = spark.createDataFrame([("0", 2), ("0", 3), ("e", 4)], "id string, value long")
+    out = {r.id: r for r in M.increment(g, "vertex", "hits", deltas).vertices.collect()}
+    assert out["0"].hits == 5 and out["1"].hits is None and out["0"].updated_at.year > 2001 and out["1"].updated_at.year == 2001
+    assert M.increment(g, "edge", "hits", deltas).edges.first().hits == 4
+    with pytest.raises(errors.NotValid):
+        M.increment(g, "vertex", "key1", deltas)
+
+
+def test_graphml_round_trip(spark, tmp_path):
+    g = graph(spark, [("0", "a", 1), ("1", "b", None)], [("e", "knows", "0", "1", 5)])
+    files.write_graphml(g, str(tmp_path / "g"))
+    back = files.read_graphml(spark, f"{tmp_path}/g/*", {"key1": "int"})
+    assert sorted(tuple(r) for r in back.vertices.select("id", "label", "key1").collect()) == [("0", "a", 1), ("1", "b", None)]
+    assert [tuple(r) for r in back.edges.select("id", "label", "src", "dst", "key1").collect()] == [("e", "knows", "0", "1", 5)]
+    by_hand = tmp_path / "hand.xml"
+    by_hand.write_text("""<graphml><graph edgedefault="directed">
+      <node id="1"><data key="labelV">person</data><data key="name">marko</data><data key="age">29</data></node>
+      <node id="2"><data key="labelV">person</data><data key="name">vadas</data></node>
+      <edge id="7" source="1" target="2"><data key="labelE">knows</data><data key="weight">0.5</data></edge></graph></graphml>""")
+    own = files.read_graphml(spark, str(by_hand), {"name": "string", "age": "int", "weight": "double"})
+    assert own.V().has("person", "name", "marko").outE("knows").values("weight").to_list() == [0.5]
+    assert own.V("1").out("knows").values("name").to_list() == ["vadas"]

@@ -7,7 +7,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lattica import errors
 from lattica.functions import scalars as S
+from lattica.model import Graph
 from lattica.operators import adjacency as A
 from lattica.plans import pregel as G
 from lattica.plans import predicates as P
@@ -156,3 +158,69 @@ def test_random_graphs_against_plain_python(spark, seed):
             for v in both:
                 reach[v] = reach[v] | both
     assert results(G.connected_components(g)) == {v: min(s) for v, s in reach.items()}
+
+
+def test_positions_in_children_count_per_start(spark):
+    g = toys.modern(spark)
+    per = lambda child: sorted(g.V().as_("a").local(child).select("a").ids().groupBy("id").count().select("id", "count").collect())
+    out = {1: 3, 4: 2, 6: 1}
+    assert [(r.id, r["count"]) for r in per(__.out().tail(1))] == [(k, 1) for k in out]
+    assert [(r.id, r["count"]) for r in per(__.out().sample(2))] == [(k, min(2, n)) for k, n in out.items()]
+    assert [(r.id, r["count"]) for r in per(__.out().skip(1))] == [(k, n - 1) for k, n in out.items() if n > 1]
+    assert sorted(g.V().local(__.out("created").values("name").order().tail(1)).to_list()) == ["lop", "lop", "ripple"]
+    groups = g.V(1, 4).local(__.out().groupCount("label")).to_list()
+    assert sorted(tuple(sorted(x.items())) for x in groups) == [(("person", 2), ("software", 1)), (("software", 2),)]
+
+
+def test_paths_by_property_keep_edges(spark):
+    g = toys.modern(spark)
+    assert sorted(g.V(1).outE("created").inV().path("name", "weight").to_list()) == [["marko", "0.4", "lop"]]
+    assert sorted(g.V(1).outE("created").inV().path("name").to_list(), key=str) == [["marko", None, "lop"]]
+    assert sorted(g.V(6).out().values("name").path("name").to_list()) == [["peter", "lop", "lop"]]
+
+
+def test_long_chains_have_no_round_limit(spark):
+    n = 70
+    vs = spark.createDataFrame([(i, "v") for i in range(n)], "id long, label string")
+    es = spark.createDataFrame([(i, "e", i, i + 1) for i in range(n - 1)], "id long, label string, src long, dst long")
+    g = Graph(vs, es)
+    assert g.V(0).repeat(__.out(), until=F.col("__id") == n - 1).ids().collect()[0][0] == n - 1
+    with pytest.raises(errors.GraphError):
+        g.V(0).repeat(__.out(), until=F.col("__id") == n - 1, max_loops=5).ids()
+
+
+def test_steps_that_change_the_graph(spark):
+    g = toys.modern(spark)
+    assert g.V().count().to_list() == [6]
+    assert toys.modern(spark).V().none_().count().to_list() == [0]
+    named = Graph(g.vertices.withColumn("id", F.col("id").cast("string")), g.edges.withColumns({c: F.col(c).cast("string") for c in ("id", "src", "dst")}))
+    t = named.V().hasLabel("software")
+    assert t.addV("copy", name="twin").V().has("copy", "name", "twin").count().to_list() == [2]
+    up = named.V().mergeV({"label": "person", "name": "marko"}, {"age": 1}, {"age": 77})
+    assert up.V().has("name", "marko").values("age").to_list() == [77] and up.V().count().to_list() == [6]
+    new = named.V().mergeV({"label": "person", "name": "stephen"}, {"age": 1}, {"age": 77})
+    assert new.V().has("name", "stephen").values("age").to_list() == [1] and new.V().count().to_list() == [7]
+    linked = named.V().mergeE("knows", "1", "2", weight=0.9)
+    assert linked.V("1").outE("knows").has("weight", 0.9).count().to_list() == [1] and linked.E().count().to_list() == [6]
+    assert g.V().values("age").reduce(F.product).to_list() == [29 * 27 * 32 * 35]
+    t = g.V().aggregate("all").side_effect(__.out("created").aggregate("made")).hasLabel("software")
+    assert t.count().to_list() == [2] and t.cap("made").count() == 4 and t.cap("all").count() == 6
+    assert sorted(g.V().hasLabel("software").call("degree", direction="in").to_list()) == [1, 3]
+    names = [n for n, _ in g.V().hasLabel("person").out("created").profile()]
+    assert any("Join" in n for n in names)
+
+
+def test_stream_of_edges_keeps_borders(spark, tmp_path):
+    from lattica.streaming import changes
+
+    schema = "event_id long, ts timestamp, user_id long, event_type string"
+    rows = [(i, f"2024-01-01 00:{i:02}:00", 100 + i % 7, "ab"[i % 2]) for i in range(24)]
+    for k in range(4):
+        part = spark.createDataFrame(rows[6 * k : 6 * k + 6], "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    events = changes.read_events(spark, str(tmp_path / "in"), schema, 1)
+    changes.keep_next_edges(events, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "edges")).select("src", "dst").collect())
+    want = sorted(tuple(r) for r in changes.next_user_edges(spark.read.schema(schema).parquet(str(tmp_path / "in"))).collect())
+    plain = sorted((a[2], b[2]) for t in "ab" for own in [[r for r in rows if r[3] == t]] for a, b in zip(own, own[1:]))
+    assert got == want == plain
