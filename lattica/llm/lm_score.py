@@ -2,14 +2,16 @@
 
 Tokens are the UTF-8 bytes of a text.  A network sees the `SIDE` bytes on either side of a
 position, never the byte itself: each neighbour adds its embedding for that distance, a
-squashed hidden layer follows, and a softmax over 256 bytes predicts the masked byte.  A
-document's score is the sum of the log-probabilities of its bytes, each given both sides.
+squashed hidden layer follows, and a softmax over the bytes that the corpus has, and one
+class for all others, predicts the masked byte.  A document's score is the sum of the
+log-probabilities of its bytes, each given both sides.
 
 The training set is the whole corpus: every window of every text is counted (the counts
 are summed per task before they are shuffled), so equal windows are one row with a weight.
-Training is data-parallel on those rows: in each round every partition walks its rows with
-Adam steps from the common weights, and the weights are averaged by the windows behind
-them.  What the driver holds is one set of weights and as many copies as the table has
+Training is data-parallel on those rows: in each round every partition walks half of its
+rows, the halves taking turns, with Adam steps from the common weights, and the weights are
+averaged by the windows behind them.  A row counts by its number to the power `DAMP`, so
+that steps are not ruled by the few most frequent windows.  What the driver holds is one set of weights and as many copies as the table has
 partitions (`PARTS` to `MOST_PARTS`), whatever the size of the corpus.
 
 Edge cases: null or empty text has 0 tokens, log-probability 0 and a null mean; positions
@@ -28,22 +30,23 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-SIDE = 2
-HIDDEN = 24
-ROUNDS = 5
+SIDE = 3
+HIDDEN = 48
+ROUNDS = 4
+DAMP = 0.7
 #: Least and most partitions of the window table in training, and windows in one of them.
-PARTS, MOST_PARTS, PART_WINDOWS = 12, 256, 2_000_000
-#: Windows scored at once, windows of one training step, and least steps on an Arrow batch.
+PARTS, MOST_PARTS, PART_WINDOWS = 6, 256, 2_000_000
+#: Windows scored at once, and windows of one training step.
 BATCH = 4096
-TRAIN_BATCH = 512
-MIN_STEPS = 20
-#: Windows whose log-probabilities a worker keeps.
-CACHE = 1_000_000
+TRAIN_BATCH = 96
+#: Distinct windows that a worker counts before it sends them on, and windows whose
+#: log-probabilities it keeps.
+CACHE, KNOWN = 1_000_000, 3_000_000
 
 
 def window_codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Each byte with its neighbours as one integer: 8 bits a byte, the masked one lowest,
-    then distances -2, -1, +1, +2."""
+    then distances -3, -2, -1, +1, +2, +3."""
     n = len(data)
     wide = data.astype(np.int64)
     sizes = np.diff(offsets)
@@ -67,12 +70,17 @@ def window_codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class WindowNet:
     NAMES = ("embed", "bias", "out", "out_bias")
 
-    def __init__(self, hidden: int = HIDDEN, seed: int = 11):
+    def __init__(self, seen: np.ndarray, hidden: int = HIDDEN, seed: int = 11):
+        """`seen`: which of the 256 bytes are classes of their own; the last class is all others."""
         rng = np.random.default_rng(seed)
-        self.embed = (rng.standard_normal((2 * SIDE, 256, hidden)) * 0.3).astype(np.float32)
+        self.seen = seen
+        self.others = max(1, int((~seen).sum()))
+        self.number = np.where(seen, np.cumsum(seen) - 1, seen.sum()).astype(np.int64)
+        self.embed = (rng.standard_normal((2 * SIDE * 256, hidden)) * 0.3).astype(np.float32)
         self.bias = np.zeros(hidden, np.float32)
-        self.out = (rng.standard_normal((hidden, 256)) / np.sqrt(hidden)).astype(np.float32)
-        self.out_bias = np.zeros(256, np.float32)
+        self.out = (rng.standard_normal((hidden, int(seen.sum()) + 1)) / np.sqrt(hidden)).astype(np.float32)
+        self.out_bias = np.zeros(self.out.shape[1], np.float32)
+        self.out_bias[-1] = -4.0
 
     def parts(self) -> list[np.ndarray]:
         return [getattr(self, k) for k in self.NAMES]
@@ -88,35 +96,39 @@ class WindowNet:
         return self
 
     def _forward(self, codes: np.ndarray):
-        near = [(codes >> (8 * (j + 1)) & 255) for j in range(2 * SIDE)]
-        h = self.bias + sum(self.embed[j][b] for j, b in enumerate(near))
+        near = (codes[:, None] >> np.arange(8, 8 * (2 * SIDE + 1), 8) & 255) + np.arange(2 * SIDE) * 256
+        h = self.embed[near[:, 0]]
+        for j in range(1, 2 * SIDE):
+            h += self.embed[near[:, j]]
+        h += self.bias
         h /= 1 + np.abs(h)
         z = h @ self.out
         z += self.out_bias
         z -= z.max(1, keepdims=True)
         p = np.exp(z)
-        total = p.sum(1)
-        return near, h, z, p, total
+        return near, h, z, p, p.sum(1)
 
     def log_prob(self, codes: np.ndarray) -> np.ndarray:
         out = np.empty(len(codes))
         for a in range(0, len(codes), BATCH):
             own = codes[a : a + BATCH]
             _, _, z, _, total = self._forward(own)
-            out[a : a + BATCH] = z[np.arange(len(own)), own & 255] - np.log(total)
-        return out
+            out[a : a + BATCH] = z[np.arange(len(own)), self.number[own & 255]] - np.log(total)
+        return out - np.where(self.seen[codes & 255], 0.0, np.log(self.others))
 
     def step(self, codes: np.ndarray, weight: np.ndarray, state: list, rate: float) -> None:
         """One Adam step on weighted windows."""
         near, h, _, p, total = self._forward(codes)
         w = (weight / weight.sum()).astype(np.float32)
         p /= total[:, None]
-        p[np.arange(len(codes)), codes & 255] -= 1
+        p[np.arange(len(codes)), self.number[codes & 255]] -= 1
         p *= w[:, None]
         d = (p @ self.out.T) * (1 - np.abs(h)) ** 2
+        flat = near.T.ravel()
+        order = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) > 0)))
         g_embed = np.zeros_like(self.embed)
-        for j, b in enumerate(near):
-            np.add.at(g_embed[j], b, d)
+        g_embed[flat[order][first]] = np.add.reduceat(d[order % len(codes)], first, 0)
         grads = [g_embed, d.sum(0), h.T @ p, p.sum(0)]
         if not state:
             state += [0, [np.zeros_like(g) for g in grads], [np.zeros_like(g) for g in grads]]
@@ -158,41 +170,43 @@ def windows(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, parts: int = PARTS) -> tuple[WindowNet, list[float]]:
-    """The trained network and the mean log-loss that each round began with."""
+    """The trained network and the mean log-loss that each round began with, on a part of it."""
     spark = docs.sparkSession
     counted = C.shared_table(windows(docs, text))
     parts = min(MOST_PARTS, max(parts, counted.count() // PART_WINDOWS))
     table = C.shared_table(counted.withColumn("h", F.xxhash64("code")).repartition(parts, "code").sortWithinPartitions("h").select("code", "n"))
-    flat, losses = WindowNet().flat(), []
+    seen = np.zeros(256, bool)
+    seen[[r.b for r in counted.select(F.expr("CAST(code & 255 AS INT) AS b")).distinct().collect()]] = True
+    flat, losses = WindowNet(seen).flat(), []
     for r in range(rounds):
         sent, rate = spark.sparkContext.broadcast(flat), 0.02 / (1 + r)
 
-        def run(batches, sent=sent, rate=rate):
-            net, state, loss, seen = WindowNet().load(sent.value), [], 0.0, 0.0
+        def run(batches, sent=sent, rate=rate, turn=r % 2):
+            net, state, loss, known = WindowNet(seen).load(sent.value), [], 0.0, 0.0
             for batch in batches:
-                if not batch.num_rows:
-                    continue
                 codes, weight = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
-                loss -= float(net.log_prob(codes) @ weight)
-                seen += weight.sum()
-                for _ in range(max(1, MIN_STEPS * TRAIN_BATCH // len(codes))):
-                    for a in range(0, len(codes), TRAIN_BATCH):
-                        net.step(codes[a : a + TRAIN_BATCH], weight[a : a + TRAIN_BATCH], state, rate)
-            yield pa.RecordBatch.from_arrays([pa.array([net.flat().tobytes()], pa.binary()), pa.array([float(seen)]), pa.array([loss])], names=["net", "n", "loss"])
+                probe = slice(0, len(codes), 32)  # what the round begins with
+                loss -= float(net.log_prob(codes[probe]) @ weight[probe]) if not state else 0.0
+                known += weight[probe].sum() if not state else 0.0
+                codes, weight = codes[turn::2], weight[turn::2] ** DAMP
+                for a in range(0, len(codes), TRAIN_BATCH):
+                    net.step(codes[a : a + TRAIN_BATCH], weight[a : a + TRAIN_BATCH], state, rate)
+            n = float(state[0]) if state else 0.0
+            yield pa.RecordBatch.from_arrays([pa.array([net.flat().tobytes()], pa.binary()), pa.array([n]), pa.array([loss]), pa.array([float(known)])], names=["net", "n", "loss", "seen"])
 
         # `parts` rows of one network each: a fixed bound
-        rows = [x for x in table.mapInArrow(run, "net binary, n double, loss double").collect() if x.n]
+        rows = [x for x in table.mapInArrow(run, "net binary, n double, loss double, seen double").collect() if x.n]
         sent.unpersist()
         total = sum(x.n for x in rows)
         if not total:
             break
         flat = sum(np.frombuffer(x.net, np.float32).astype(np.float64) * (x.n / total) for x in rows).astype(np.float32)
-        losses.append(sum(x.loss for x in rows) / total)
-    return WindowNet().load(flat), losses
+        losses.append(sum(x.loss for x in rows) / max(1.0, sum(x.seen for x in rows)))
+    return WindowNet(seen).load(flat), losses
 
 
 def scored(docs: DataFrame, net: WindowNet, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (id, n_tokens, sum_logprob, mean_logprob)."""
+    """Rows (id, mean_logprob, sum_logprob, n_tokens)."""
 
     def run(batches):
         known, value = np.zeros(0, np.int64), np.zeros(0)
@@ -209,19 +223,17 @@ def scored(docs: DataFrame, net: WindowNet, id: str = "doc_id", text: str = "tex
                 met = known[np.minimum(at, len(known) - 1)] == codes if len(known) else np.zeros(len(codes), bool)
                 lp[met] = value[at[met]]
                 lp[~met] = net.log_prob(codes[~met])
-                if len(known) > CACHE:
+                if len(known) > KNOWN:
                     known, value = codes, lp
                 elif not met.all():
-                    known = np.concatenate((known, codes[~met]))
-                    order = np.argsort(known, kind="stable")
-                    known, value = known[order], np.concatenate((value, lp[~met]))[order]
+                    known, value = np.insert(known, at[~met], codes[~met]), np.insert(value, at[~met], lp[~met])
                 sums = np.concatenate(([0.0], np.cumsum(lp[inverse])))
                 total[a:b] = np.diff(sums[cuts])
             n = np.diff(offsets)
             mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), mean], names=["id", "n_tokens", "sum_logprob", "mean_logprob"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), mean, pa.array(total), pa.array(n)], names=["id", "mean_logprob", "sum_logprob", "n_tokens"])
 
-    kind = T.StructType([T.StructField("id", docs.schema[id].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("sum_logprob", T.DoubleType()), T.StructField("mean_logprob", T.DoubleType())])
+    kind = T.StructType([T.StructField("id", docs.schema[id].dataType), T.StructField("mean_logprob", T.DoubleType()), T.StructField("sum_logprob", T.DoubleType()), T.StructField("n_tokens", T.LongType())])
     return docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, kind).withColumnRenamed("id", id)
 
 

@@ -260,13 +260,63 @@ def test_masked_scores(spark, docs):
     text = next(r.text for r in docs.collect() if r.doc_id == 3).encode()
     total = 0.0
     for k in range(len(text)):  # byte by byte, straight from the definition
-        near = [text[k + d] if 0 <= k + d < len(text) else 0 for d in (-2, -1, 1, 2)]
-        h = net.bias + sum(net.embed[j][b] for j, b in enumerate(near))
+        near = [text[k + d] if 0 <= k + d < len(text) else 0 for d in (-3, -2, -1, 1, 2, 3)]
+        h = net.bias + sum(net.embed[256 * j + b] for j, b in enumerate(near))
         z = (h / (1 + np.abs(h))) @ net.out + net.out_bias
-        total += float(z[text[k]] - z.max() - np.log(np.exp(z - z.max()).sum()))
+        c = net.number[text[k]]
+        total += float(z[c] - z.max() - np.log(np.exp(z - z.max()).sum())) - (0 if net.seen[text[k]] else math.log(net.others))
     assert got[3].n_tokens == len(text) and abs(got[3].sum_logprob - total) < 0.02
-    noise = spark.createDataFrame([(1, "".join(random.Random(4).choice("qzxjkvwQZXJ#%&") for _ in range(500)))], "doc_id long, text string")
-    assert lm_score.scored(noise, net).first().mean_logprob < min(r.mean_logprob for r in got.values()) + 1
+    noise = spark.createDataFrame([(1, "".join(random.Random(4).choice("qzxjkvwQZXJ#%&\x01\x02") for _ in range(500))), (2, None), (3, "")], "doc_id long, text string")
+    odd = {r.doc_id: r for r in lm_score.scored(noise, net).collect()}
+    assert odd[1].mean_logprob < sorted(r.mean_logprob for r in got.values())[len(got) // 2] - 1
+    assert [(odd[k].n_tokens, odd[k].sum_logprob, odd[k].mean_logprob) for k in (2, 3)] == [(0, 0.0, None)] * 2
+
+
+def test_held_out_likelihood_beats_a_count_table(spark):
+    """Nats a byte on documents that were not trained on, against smoothed counts of each
+    byte between its two neighbours."""
+    docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    net, _ = lm_score.train(docs.where(common.crc_third("doc_id") != 1))
+    held = docs.where(common.crc_third("doc_id") == 1)
+    rows = lm_score.scored(held, net).agg(F.sum("sum_logprob"), F.sum("n_tokens")).first()
+    nats = -rows[0] / rows[1]
+    triple, pair, single = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in docs.where(common.crc_third("doc_id") != 1).collect():
+        b = b"\0" + (r.text or "").encode() + b"\0"
+        triple.update(zip(b, b[1:], b[2:]))
+        pair.update(zip(b, b[2:]))
+        single.update(b[1:-1])
+    total, n, size = 0.0, 0, sum(single.values())
+    for r in held.collect():
+        b = b"\0" + (r.text or "").encode() + b"\0"
+        for x, y, z in zip(b, b[1:], b[2:]):
+            total -= math.log((triple[x, y, z] + 2 * (single[y] + 0.01) / size) / (pair[x, z] + 2))
+            n += 1
+    print(f"held-out nats a byte: network {nats:.3f}, count table {total / n:.3f}")
+    assert n == rows[1] and nats < total / n
+
+
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(4)
+    seen = np.zeros(256, bool)
+    seen[:6] = True
+    codes = lm_score.window_codes(rng.integers(0, 8, 40).astype(np.uint8), np.array([0, 25, 40]))
+    weight = rng.random(40)
+    net = lm_score.WindowNet(seen, hidden=5)
+    for name in net.NAMES:
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    plain = net.flat().copy()
+    loss = lambda: -float((net.log_prob(codes) + np.where(seen[codes & 255], 0, np.log(net.others))) @ weight / weight.sum())
+    state = []
+    net.step(codes, weight, state, 0.0)
+    grads = np.concatenate([m.ravel() * 10 for m in state[1]])
+    for i in np.flatnonzero(np.abs(grads) > 1e-3)[::17].tolist():
+        moved = plain.copy()
+        moved[i] += 1e-5
+        up = net.load(moved) and loss()
+        moved[i] -= 2e-5
+        down = net.load(moved) and loss()
+        assert abs((up - down) / 2e-5 - grads[i]) < 1e-4
 
 
 def test_windows_count_every_position(docs):
