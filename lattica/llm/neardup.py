@@ -7,8 +7,8 @@ branch classes by minwise tokens: a node at depth two is the pair of tokens chos
 nodes with more than `LEAF` members branch deeper, up to four tokens.  Two sets of
 similarity 0.8 stay together at depth two with probability 0.64, so twelve trees miss a
 link with probability 5e-6.  At depth four this is 0.41 only, so classes of any larger
-node at depth two get `MORE` further trees, which miss a link with probability 3e-6 if
-all nodes branch to the end, and less together with the first twelve.  Members of a node
+node at depth two get `MORE` further trees; all of them together miss a link with probability
+3e-6 even if every node branches to the end.  Members of a node
 are compared exhaustively, first by a 128-slot sketch; what passes it (more than 4.5
 standard deviations below the limit) joins a candidate cluster, as a star and never as all
 pairs.  A node that is still larger at depth four is dealt over blocks that share its
@@ -49,7 +49,7 @@ from pyspark.sql import types as T
 from . import common as C
 
 WORDS = 4
-TREES, MORE, DEPTH = 12, 24, 4
+TREES, MORE, DEPTH = 12, 12, 4
 LEAF, BLOCK, PIVOTS = 200, 200, 32
 #: Parts over which the members of one cluster are spread when they meet the cluster's row.
 SALTS = 64
