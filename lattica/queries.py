@@ -9,8 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import NotUnique, NotValid
 from .functions import scalars as S
 from .functions import values as X
+from .model import Graph, to_map_layout, to_wide_layout
 from .operators import adjacency as A
 from .operators import lookup as L
 from .operators import mutate as M
@@ -841,3 +843,101 @@ def p06_bfs_customers(s, d):
 @query("SELECT 'next_user:' || event_id AS id, user_id AS src, nxt AS dst FROM (SELECT event_id, user_id, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL")
 def p06_event_sequence(s, d):
     return star.user_sequence(s, d).edges.select("id", "src", "dst")
+
+
+# metadata and files
+
+
+@query("SELECT * FROM (VALUES ('CREATED', 'BUILDING', true), ('CREATED', 'ACTIVE', true), ('BUILDING', 'CREATED', false), ('ACTIVE', 'CREATED', false), ('ACTIVE', 'INACTIVE', true), ('INACTIVE', 'BUILDING', false), ('INACTIVE', 'ACTIVE', false), ('INACTIVE', 'DROPPED', true), ('DROPPED', 'CREATED', true), ('DROPPED', 'ACTIVE', false)) t(state, next, allowed)")
+def l05_transitions(s, d):
+    """Which state an index may go to, tried on a catalog."""
+    ways = {"CREATED": [], "BUILDING": ["BUILDING"], "ACTIVE": ["BUILDING", "ACTIVE"], "INACTIVE": ["INACTIVE"], "DROPPED": ["INACTIVE", "DROPPED"]}
+    tried = [("CREATED", "BUILDING"), ("CREATED", "ACTIVE"), ("BUILDING", "CREATED"), ("ACTIVE", "CREATED"), ("ACTIVE", "INACTIVE"), ("INACTIVE", "BUILDING"), ("INACTIVE", "ACTIVE"), ("INACTIVE", "DROPPED"), ("DROPPED", "CREATED"), ("DROPPED", "ACTIVE")]
+
+    def allowed(state: str, after: str) -> bool:
+        c = Catalog().create_index("vertex", "part", "p_size")
+        for x in ways[state]:
+            c = c.set_state("vertex", "part", "p_size", x)
+        try:
+            return c.set_state("vertex", "part", "p_size", after).indices["vertex", "part", "p_size"].state == after
+        except NotValid:
+            return False
+
+    return s.createDataFrame([(a, b, allowed(a, b)) for a, b in tried], "state string, next string, allowed boolean")
+
+
+@query("SELECT * FROM (VALUES ('undeclared label', true), ('wrong type', true), ('unconnected labels', true), ('repeated id', true), ('repeated unique value', true), ('undeclared counter', true), ('fitting', false)) t(batch, rejected)")
+def l12_rejected_batches(s, d):
+    """Batches over the nations that a schema, ids and a unique index refuse."""
+    c = Catalog(use_schema=True).create_label("vertex", "nation", "string", n_name="string", n_nationkey="int", n_regionkey="int").create_label("edge", "near", "string")
+    nations = star.vertex_table(s, d, "nation").select("id", "label", "n_name", "n_nationkey", "n_regionkey")
+    g = Graph(nations, s.createDataFrame([], "id string, label string, src string, dst string"), catalog=c)
+    new = nations.select(F.concat(F.lit("new:"), "id").alias("id"), "label", "n_name", "n_nationkey", "n_regionkey")
+    unique = g.with_(catalog=c.create_index("vertex", "nation", "n_name", unique=True))
+    tries = {
+        "undeclared label": lambda: M.add_vertices(g, new.withColumn("label", F.lit("town"))),
+        "wrong type": lambda: M.add_vertices(g, new.withColumn("n_name", F.lit(1.5))),
+        "unconnected labels": lambda: M.add_edges(g, nations.select(F.lit("e").alias("id"), F.lit("near").alias("label"), F.col("id").alias("src"), F.col("id").alias("dst")).limit(1)),
+        "repeated id": lambda: M.add_vertices(g, nations),
+        "repeated unique value": lambda: M.add_vertices(unique, new),
+        "undeclared counter": lambda: M.increment(g, "vertex", "n_name", nations.select("id", F.lit(1).alias("value"))),
+        "fitting": lambda: M.add_vertices(g, new),
+    }
+
+    def rejected(act) -> bool:
+        try:
+            act()
+        except (NotUnique, NotValid):
+            return True
+        return False
+
+    return s.createDataFrame([(k, rejected(f)) for k, f in tries.items()], "batch string, rejected boolean")
+
+
+@query("SELECT 'placed:' || o_orderkey AS id, o_totalprice AS value FROM orders ORDER BY o_totalprice DESC, 'placed:' || o_orderkey DESC LIMIT 25")
+def s14_edge_page_reverse(s, d):
+    """A page in reverse order over the sorted projection of an edge index."""
+    g = star.graph(s, d, ("order",), ("placed",))
+    g = g.with_(catalog=Catalog().create_index("edge", "placed", "o_totalprice"))
+    index = L.build_index(g, "edge", "placed", "o_totalprice")[1]
+    return L.page(index, ["value", "id"], None, 25, True).select("id", "value")
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_orderdate > TIMESTAMP '1996-06-01' - INTERVAL 100 DAY")
+def f03_time_to_live(s, d):
+    g = star.graph(s, d, ("order",), ())
+    g = g.with_(vertices=g.vertices.withColumn("updated_at", F.col("o_orderdate").cast("timestamp")))
+    return g.alive(100 * 86400, F.lit("1996-06-01").cast("timestamp")).vertices.agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'part:' || p_partkey AS id, p_name, p_size FROM part")
+def x08_map_layout(s, d):
+    """Properties as a map of texts, and back to declared types."""
+    v = star.graph(s, d, ("part",), ()).vertices.select("id", "label", "p_name", "p_size")
+    return to_wide_layout(to_map_layout(v), {"p_name": "string", "p_size": "int"}).select("id", "p_name", "p_size")
+
+
+@query("SELECT lower(reverse(n_name)) AS a, trim('  ' || n_name || ' ') || '|' || ltrim('  ' || n_name || ' ') || '|' || rtrim('  ' || n_name || ' ') AS b, replace(n_name, 'N', 'no') AS c, array_to_string(string_split(n_name, '_'), '+') AS d, n_name || ' is ' || n_nationkey AS e FROM nation")
+def g23_more_strings(s, d):
+    v = star.graph(s, d, ("nation",), ()).vertices
+    n = F.col("n_name")
+    wide = F.concat(F.lit("  "), n, F.lit(" "))
+    return v.select(
+        S.to_lower(S.reverse(n)).alias("a"), S.concat(S.trim(wide), "|", S.l_trim(wide), "|", S.r_trim(wide)).alias("b"), S.replace(n, "N", "no").alias("c"),
+        S.conjoin(S.split(n, "_"), "+").alias("d"), S.format_string("%{name} is %{key}", {"name": n, "key": F.col("n_nationkey")}).alias("e"),
+    )
+
+
+@query(
+    "WITH b AS (SELECT p_brand AS key, list_sort(list_distinct(list(p_size))) AS l FROM part GROUP BY 1), f AS (SELECT key, l, [1, 2, 3, 90] AS o FROM b)"
+    "SELECT key, len(list_filter(l, lambda x: NOT list_contains(o, x))) AS n_difference, len(list_filter(l, lambda x: NOT list_contains(o, x))) + len(list_filter(o, lambda x: NOT list_contains(l, x))) AS n_disjunct,"
+    "len(list_distinct(list_concat(l, o))) AS n_merge, len(l) + 4 AS n_combine, 4 * len(l) AS n_product, array_to_string(l, ',') AS joined, list_min(l) > 0 AS over, list_max(l) > 45 AS large, NOT list_contains(l, 7) AS free FROM f"
+)
+def g25_more_lists(s, d):
+    rows = star.graph(s, d, ("part",), ()).V().group("p_brand", "p_size", F.collect_set).df()
+    c, o = F.sort_array("value"), F.array(*map(F.lit, (1, 2, 3, 90)))
+    size = lambda x: F.size(x).cast("long")
+    return rows.select(
+        "key", size(S.difference(c, o)).alias("n_difference"), size(S.disjunct(c, o)).alias("n_disjunct"), size(S.merge(c, o)).alias("n_merge"), size(S.combine(c, o)).alias("n_combine"), size(S.product(c, o)).alias("n_product"),
+        S.conjoin(c, ",").alias("joined"), S.all_(c, lambda x: x > 0).alias("over"), S.any_(c, lambda x: x > 45).alias("large"), S.none_(c, lambda x: x == 7).alias("free"),
+    )

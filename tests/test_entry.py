@@ -12,7 +12,7 @@ from .conftest import DATA
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 #: One of each family; the driver compares all of them.
-SOME = ["g00_segment_totals", "s05_multi_get", "s14_key_page_reverse", "w03_remove_vertices", "w07_counter", "j04_edge_page", "j05_both", "a02_sum_neighbours", "g07_where_child", "g13_simple_path", "g17_coalesce", "g19_subgraph", "g24_dates", "p03_shortest_paths", "p06_components", "p06_page_rank"]
+SOME = ["g00_segment_totals", "s05_multi_get", "s14_key_page_reverse", "w03_remove_vertices", "w07_counter", "j04_edge_page", "j05_both", "a02_sum_neighbours", "g07_where_child", "g13_simple_path", "g17_coalesce", "g19_subgraph", "g24_dates", "p03_shortest_paths", "p06_components", "p06_page_rank", "w07_edge_counter", "w10_bulk_set_last_wins", "w12_repeated_keys", "g09_tail_in_child", "g13_path_by", "g25_more_lists", "l12_rejected_batches", "p06_label_propagation", "p06_event_sequence", "x01_sort_keys"]
 
 
 @pytest.mark.parametrize("name", SOME)
