@@ -158,19 +158,31 @@ def crc_third(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 3, F.lit(0))
 
 
+#: Rows of a table of ids for each task that walks it, and least tasks.
+LINK_ROWS, LINK_TASKS = 100_000, 12
+
+
+def few_tasks(df: DataFrame) -> tuple[DataFrame, int]:
+    """A written table of small rows in as many tasks as its rows ask for, and their number."""
+    tasks = max(LINK_TASKS, df.count() // LINK_ROWS)
+    return df.coalesce(tasks), tasks  # never more than its partitions
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an undirected graph: (node, component), the smallest node
     reachable.  Every round takes the least label among neighbours and then the label of
     that label, so chains shrink geometrically; rounds end when nothing changes.  Only
-    (node, label) rows are shuffled and each round is checkpointed."""
+    (node, label) rows are shuffled and each round is checkpointed.  A small graph's rounds
+    run in fewer tasks than a shuffle has partitions."""
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v")
     links = shared_table(links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = shared_table(links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")))
+    links, tasks = few_tasks(links)
+    labels = shared_table(links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).coalesce(tasks))
     while True:
-        near = links.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        low = labels.join(near, "u").select("u", "label", F.least("label", "near").alias("low"))
+        near = links.join(labels.select(F.col("u").alias("v"), "label"), "v").coalesce(tasks).groupBy("u").agg(F.min("label").alias("near"))
+        low = labels.join(near, "u").select("u", "label", F.least("label", "near").alias("low")).coalesce(tasks)
         jump = labels.select(F.col("u").alias("low"), F.col("label").alias("far"))
-        step = shared_table(low.join(jump, "low", "left").select("u", "label", F.least("low", F.coalesce("far", "low")).alias("new")))
+        step = shared_table(low.join(jump, "low", "left").select("u", "label", F.least("low", F.coalesce("far", "low")).alias("new")).coalesce(tasks))
         changed = step.where("new != label").limit(1).count()
         labels = step.select("u", F.col("new").alias("label"))
         if not changed:

@@ -360,13 +360,13 @@ def _questions(members: DataFrame, size: int) -> DataFrame | None:
     """From the members (node, id, component) of nodes: rows (node, block, group, id, query), so
     that every two members in different components meet.  Members outside the component that
     most of their node is in are queries; groups of them meet all members, block by block."""
-    members = C.shared_table(members)
-    parts = C.shared_table(members.groupBy("node", "component").agg(F.count("*").alias("n")))
+    members, tasks = C.few_tasks(C.shared_table(members))
+    parts = C.shared_table(members.groupBy("node", "component").agg(F.count("*").alias("n")).coalesce(tasks))
     main = parts.groupBy("node").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all")).where("all > m.n")
-    apart = C.shared_table(parts.join(main.select("node", "all", F.col("m.component").alias("main")), "node").where("component != main").select("node", "component", "n", "all"))
+    apart = C.shared_table(parts.join(main.select("node", "all", F.col("m.component").alias("main")), "node").where("component != main").select("node", "component", "n", "all").coalesce(tasks))
     if not apart.limit(1).count():
         return None
-    open_ = C.shared_table(apart.groupBy("node").agg(F.ceil(F.sum("n") / size).alias("groups"), F.ceil(F.first("all") / size).alias("blocks")))
+    open_ = C.shared_table(apart.groupBy("node").agg(F.ceil(F.sum("n") / size).alias("groups"), F.ceil(F.first("all") / size).alias("blocks")).coalesce(tasks))
     asked = members.join(apart.select("node", "component"), ["node", "component"], "left_semi").select("node", "id")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asked = asked.join(open_, "node").select("node", spread("blocks").alias("block"), F.pmod(F.xxhash64("id", F.lit(5)), "groups").alias("group"), "id", F.lit(True).alias("query"))
@@ -390,15 +390,15 @@ def _common_prefixes(members: DataFrame, texts: DataFrame, words: int) -> DataFr
     """Rows (node, id, component) from rows (cluster, component, id): every two sets of a cluster
     that are similar enough and in different components meet in a node."""
     rows = members.join(texts, "id").select("cluster", "component", "id", "text")
-    grams = C.shared_table(rows.mapInArrow(_grams(words), "cluster long, component long, id long, n long, gram long"))
+    grams, tasks = C.few_tasks(C.shared_table(rows.mapInArrow(_grams(words), "cluster long, component long, id long, n long, gram long")))
     parts = grams.groupBy("cluster", "gram").agg(F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
-    useful = C.shared_table(parts.where("low < high").select("cluster", "gram", "held"))
+    useful = C.shared_table(parts.where("low < high").select("cluster", "gram", "held").coalesce(tasks))
     known = grams.join(useful, ["cluster", "gram"], "left").select("id", "n", "gram", "cluster", "component", F.coalesce("held", F.lit(0)).alias("held"))
     place = F.row_number().over(W.partitionBy("id").orderBy("held", "gram"))
     # with sizes x <= y <= 1.25 x, common shingles are 4/9 (x + y) at least: 8/9 of x and 4/5 of y
     first = known.withColumn("place", place).where("held > 0 AND place <= n - ceil(n * 0.8D - 1e-9D) + 1")
     first = first.select("cluster", "gram", "component", "id", (F.col("place") <= F.expr("n - ceil(n * 8 / 9 - 1e-9D) + 1")).alias("short"))
-    first = C.shared_table(first)
+    first = C.shared_table(first.coalesce(tasks))
     # a node has two components and a set that may be the smaller one
     sums = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(20,0)")).alias(f"h{k}") for k in (1, 2)]
     nodes = first.groupBy("cluster", "gram").agg(F.count("*").alias("held"), F.max("short").alias("any"), F.min("component").alias("low"), F.max("component").alias("high"), *sums).where("low < high AND any")
