@@ -8,9 +8,9 @@ log-probabilities of its bytes, each given both sides.
 
 The training set is the whole corpus: every window of every text is counted (the counts
 are summed per task before they are shuffled), so equal windows are one row with a weight.
-Training is data-parallel on those rows: in each round every partition walks half of its
-rows, the halves taking turns, with Adam steps from the common weights, and the weights are
-averaged by the windows behind them.  A row counts by its number to the power `DAMP`, so
+Training is data-parallel on those rows: in each round every partition walks its rows (more
+than once where the whole table has fewer than `LEAST_WINDOWS`) with Adam steps from the
+common weights, and the weights are averaged by the steps behind them.  A row counts by its number to the power `DAMP`, so
 that steps are not ruled by the few most frequent windows.  What the driver holds is one set of weights and as many copies as the table has
 partitions (`PARTS` to `MOST_PARTS`), whatever the size of the corpus.
 
@@ -30,10 +30,12 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-SIDE = 3
+SIDE = 2
 HIDDEN = 48
 ROUNDS = 4
 DAMP = 0.7
+#: Fewest windows that a round walks, repeats counted.
+LEAST_WINDOWS = 400_000
 #: Least and most partitions of the window table in training, and windows in one of them.
 PARTS, MOST_PARTS, PART_WINDOWS = 6, 256, 2_000_000
 #: Windows scored at once, and windows of one training step.
@@ -46,7 +48,7 @@ CACHE, KNOWN = 1_000_000, 3_000_000
 
 def window_codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Each byte with its neighbours as one integer: 8 bits a byte, the masked one lowest,
-    then distances -3, -2, -1, +1, +2, +3."""
+    then distances -2, -1, +1, +2."""
     n = len(data)
     wide = data.astype(np.int64)
     sizes = np.diff(offsets)
@@ -173,7 +175,8 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, parts: int
     """The trained network and the mean log-loss that each round began with, on a part of it."""
     spark = docs.sparkSession
     counted = C.shared_table(windows(docs, text))
-    parts = min(MOST_PARTS, max(parts, counted.count() // PART_WINDOWS))
+    n = counted.count()
+    parts, passes = min(MOST_PARTS, max(parts, n // PART_WINDOWS)), -(-LEAST_WINDOWS // max(1, n))
     table = C.shared_table(counted.withColumn("h", F.xxhash64("code")).repartition(parts, "code").sortWithinPartitions("h").select("code", "n"))
     seen = np.zeros(256, bool)
     seen[[r.b for r in counted.select(F.expr("CAST(code & 255 AS INT) AS b")).distinct().collect()]] = True
@@ -181,15 +184,15 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, parts: int
     for r in range(rounds):
         sent, rate = spark.sparkContext.broadcast(flat), 0.02 / (1 + r)
 
-        def run(batches, sent=sent, rate=rate, turn=r % 2):
+        def run(batches, sent=sent, rate=rate, passes=passes):
             net, state, loss, known = WindowNet(seen).load(sent.value), [], 0.0, 0.0
             for batch in batches:
                 codes, weight = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
                 probe = slice(0, len(codes), 32)  # what the round begins with
                 loss -= float(net.log_prob(codes[probe]) @ weight[probe]) if not state else 0.0
                 known += weight[probe].sum() if not state else 0.0
-                codes, weight = codes[turn::2], weight[turn::2] ** DAMP
-                for a in range(0, len(codes), TRAIN_BATCH):
+                weight = weight**DAMP
+                for a in [*range(0, len(codes), TRAIN_BATCH)] * passes:
                     net.step(codes[a : a + TRAIN_BATCH], weight[a : a + TRAIN_BATCH], state, rate)
             n = float(state[0]) if state else 0.0
             yield pa.RecordBatch.from_arrays([pa.array([net.flat().tobytes()], pa.binary()), pa.array([n]), pa.array([loss]), pa.array([float(known)])], names=["net", "n", "loss", "seen"])

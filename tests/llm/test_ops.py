@@ -260,7 +260,7 @@ def test_masked_scores(spark, docs):
     text = next(r.text for r in docs.collect() if r.doc_id == 3).encode()
     total = 0.0
     for k in range(len(text)):  # byte by byte, straight from the definition
-        near = [text[k + d] if 0 <= k + d < len(text) else 0 for d in (-3, -2, -1, 1, 2, 3)]
+        near = [text[k + d] if 0 <= k + d < len(text) else 0 for d in (*range(-lm_score.SIDE, 0), *range(1, lm_score.SIDE + 1))]
         h = net.bias + sum(net.embed[256 * j + b] for j, b in enumerate(near))
         z = (h / (1 + np.abs(h))) @ net.out + net.out_bias
         c = net.number[text[k]]
