@@ -34,8 +34,8 @@ SIDE = 2
 HIDDEN = 48
 ROUNDS = 4
 DAMP = 0.7
-#: Fewest windows that a round walks, repeats counted.
-LEAST_WINDOWS = 400_000
+#: Fewest windows that a round walks, repeats counted, unless that takes more passes than these.
+LEAST_WINDOWS, MOST_PASSES = 400_000, 20
 #: Least and most partitions of the window table in training, and windows in one of them.
 PARTS, MOST_PARTS, PART_WINDOWS = 6, 256, 2_000_000
 #: Windows scored at once, and windows of one training step.
@@ -176,7 +176,7 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, parts: int
     spark = docs.sparkSession
     counted = C.shared_table(windows(docs, text))
     n = counted.count()
-    parts, passes = min(MOST_PARTS, max(parts, n // PART_WINDOWS)), -(-LEAST_WINDOWS // max(1, n))
+    parts, passes = min(MOST_PARTS, max(parts, n // PART_WINDOWS)), min(MOST_PASSES, -(-LEAST_WINDOWS // max(1, n)))
     table = C.shared_table(counted.withColumn("h", F.xxhash64("code")).repartition(parts, "code").sortWithinPartitions("h").select("code", "n"))
     seen = np.zeros(256, bool)
     seen[[r.b for r in counted.select(F.expr("CAST(code & 255 AS INT) AS b")).distinct().collect()]] = True
